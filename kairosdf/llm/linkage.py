@@ -60,60 +60,66 @@ def _sides(df: DataFrame, suffix: str, keep: tuple[str, ...] = ()) -> DataFrame:
 def linked_components(
     work: Work,
     members: DataFrame,
-    light: list[str],
+    facts: DataFrame,
     payload: Callable[[DataFrame], DataFrame],
     likely: Callable[[str, str], Column],
     linked: Callable[[str, str], Column],
 ) -> DataFrame:
     """(id, label) of the ids that have a link.
 
-    members: (bucket, id, *light).  likely(x, y) is a necessary condition on
-    the light columns with suffixes x and y; linked(x, y) the exact one, which
-    may also use the columns of payload(ids), a table of (id, ...).
+    members: (bucket, id).  facts: (id, ...), cheap columns of every id;
+    likely(x, y) is a necessary condition on them with suffixes x and y, and
+    linked(x, y) the exact one on the columns of payload(ids), a table of
+    (id, ...).
     """
-    first = F.min("id").alias("centre")
-    sizes = work.table("buckets", members.groupBy("bucket").agg(first, F.count("*").alias("size")).where("size > 1"))
+    sizes = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1")
+    sizes = work.table("buckets", sizes)
     members = work.table("members", members.join(sizes, "bucket"))
     work.drop("buckets")
+    known = work.table("facts", facts.join(members.select("id").distinct(), "id", "left_semi"))
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        return pairs.join(_sides(known, "_a"), "id_a").join(_sides(known, "_b"), "id_b").where(likely("_a", "_b")).select("id_a", "id_b")
+
+    star = members.where("id <> centre").select(F.col("centre").alias("id_a"), F.col("id").alias("id_b")).distinct()
+    star = work.table("star", candidates(star))
+
+    # buckets in which the cheap condition leaves nothing still count: a member may be close to another than the centre
     heavy = work.table("payload", payload(members.select("id").distinct()))
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(_sides(heavy, "_a"), "id_a").join(_sides(heavy, "_b"), "id_b")
         return both.where(linked("_a", "_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
-    facts = members.select("id", *light).dropDuplicates(["id"])
-    star = members.where("id <> centre").select(F.col("centre").alias("id_a"), F.col("id").alias("id_b"), *[F.col(c).alias(c + "_b") for c in light]).dropDuplicates(["id_a", "id_b"])
-    if light:
-        facts = work.table("facts", facts)
-        star = star.join(_sides(facts, "_a"), "id_a").where(likely("_a", "_b"))
-    links = work.table("links1", verified(star.select("id_a", "id_b")))
+    links = work.table("links1", verified(star))
+    work.drop("star")
     found = connected_components(work, links, "c1")
 
     # buckets that still hold more than one component
-    labelled = work.table("labelled", members.join(found, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    labelled = members.join(found, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labelled = work.table("labelled", labelled.select("bucket", "size", "id", "label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
     mixed = work.table("mixed", mixed)
     rest = work.table("rest", labelled.join(mixed, "bucket"))
-    work.drop("members", "labelled", "mixed", "facts")
+    work.drop("members", "labelled", "mixed")
 
     across = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b"))
-    if light:
-        across &= likely("_a", "_b")
-    small = rest.where(F.col("size") <= SMALL_BUCKET).select("bucket", "id", "label", *light)
+    small = rest.where(F.col("size") <= SMALL_BUCKET).select("bucket", "id", "label")
     pairs = _sides(small, "_a", ("bucket",)).join(_sides(small, "_b", ("bucket",)), "bucket").where(across)
-    links2 = verified(pairs.select("id_a", "id_b").distinct())
+    pairs = work.table("pairs", candidates(pairs.select("id_a", "id_b").distinct()))
+    links2 = verified(pairs)
 
     large = rest.where(F.col("size") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     large = large.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = large.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    large = large.select("bucket", "lo", "hi", "own", "id", "label", *light)
+    large = large.select("bucket", "lo", "hi", "own", "id", "label").join(known, "id").join(heavy, "id")
     keys = ("bucket", "lo", "hi")
-    a, b = (_sides(large.join(heavy.drop(*light), "id"), s, keys) for s in ("_a", "_b"))
+    a, b = (_sides(large, s, keys) for s in ("_a", "_b"))
     # each pair once: of two blocks, either from different blocks or both in the only one
     once = (F.col("own_a") != F.col("own_b")) | (F.col("lo") == F.col("hi"))
-    links3 = a.join(b, list(keys)).where(once & across & linked("_a", "_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    more = work.table("links2", links2.union(links3))
-    work.drop("rest", "payload")
+    links3 = a.join(b, list(keys)).where(once & across & likely("_a", "_b") & linked("_a", "_b"))
+    more = work.table("links2", links2.union(links3.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
+    work.drop("rest", "payload", "pairs", "facts")
     if more.isEmpty():
         return found
     return connected_components(work, links.union(more), "c2")

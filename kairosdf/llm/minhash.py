@@ -110,7 +110,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sig.where("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("rep"))
     classes = work.table("classes", classes.select("k1", "k2", F.col("rep.doc_id").alias("id"), F.col("rep.n_shingles").alias("n"), F.col("rep.bands").alias("bands")))
-    members = classes.select(F.explode("bands").alias("bucket"), "id", "n")
+    members = classes.select(F.explode("bands").alias("bucket"), "id")
 
     def payload(ids: DataFrame) -> DataFrame:
         wanted = base.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
@@ -124,7 +124,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = F.size(F.array_intersect(f"set{x}", f"set{y}"))
         return 100 * both >= percent * (F.size(f"set{x}") + F.size(f"set{y}") - both)
 
-    found = linked_components(work, members, ["n"], payload, likely, linked)
+    found = linked_components(work, members, classes.select("id", "n"), payload, likely, linked)
     least = work.table("least", _component_ids(classes, found))
     out = sig.select("doc_id", "n_shingles", "k1", "k2").join(least, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
