@@ -45,3 +45,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pu_classifier import quality_classifier
 
     return quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminations
+
+    return contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("rid")
