@@ -52,3 +52,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     from .decontaminate import contaminations
 
     return contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("rid")
+
+
+@query
+def op5_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
