@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,3 +60,66 @@ def op5_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_round_trip
 
     return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+# The mix: domains are groups of sources; half the corpus's words, at most two epochs of a source.
+MIX = {
+    "share": (1, 2),
+    "domain": F.translate(F.substring(F.md5("source"), 1, 1), "0123456789abcdef", "aaaabbbbccccdddd"),
+    "weights": {
+        "domain": F.expr("case domain when 'a' then 4 when 'b' then 3 when 'c' then 2 else 1 end"),
+        "lang": F.expr("case lang when 'en' then 4 when 'de' then 3 when 'fr' then 3 else 2 end"),
+        "source": F.expr("case when source in ('src0', 'src1') then 3 else 2 end"),
+    },
+    "max_epochs": 2,
+    "seed": 7,
+}
+
+
+@query
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import select_mix
+
+    return select_mix(_table(spark, sf_dir, "documents"), **MIX)
+
+
+def _fill_sql(name: str, parent: str, key: str) -> str:
+    over = f"over (partition by {parent})"
+    at = f"over (partition by {parent} order by ratio, {key}"
+    return f"""
+{name}1 as (select *, (cap::hugeint * 1000000) // weight as ratio from {name}0 where weight > 0 and cap > 0),
+{name}2 as (select *, coalesce(sum(cap) {at} rows between unbounded preceding and 1 preceding), 0)::hugeint as above,
+    sum(weight) {at} rows between current row and unbounded following)::hugeint as weights from {name}1),
+{name}3 as (select *, cap::hugeint * weights <= (total - above) * weight as fits from {name}2),
+{name}4 as (select *, min(case when not fits then struct_pack(r := ratio, k := {key}) end) {over} as open from {name}3),
+{name}5 as (select *, open is null or struct_pack(r := ratio, k := {key}) < open as filled from {name}4),
+{name}6 as (select *, coalesce(sum(case when filled then cap end) {over}, 0)::hugeint as spent,
+    coalesce(sum(case when not filled then weight end) {over}, 1)::hugeint as shared from {name}5),
+{name} as (select *, case when filled then cap else (((total - spent) * weight) // shared)::bigint end as budget from {name}6)"""
+
+
+def _place_sql(epoch: str) -> str:
+    return f"('0x' || substr(md5('7:' || {epoch} || ':' || coalesce(doc_id::varchar, '')), 1, 8))::bigint"
+
+
+ORACLE_SQL["op8_source_mixing"] = f"""
+with docs as (
+    select doc_id, coalesce(lang, 'unknown') as lang, coalesce(source, 'unknown') as source,
+        coalesce(translate(substr(md5(source), 1, 1), '0123456789abcdef', 'aaaabbbbccccdddd'), 'unknown') as domain,
+        len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::bigint as n_tokens
+    from documents),
+base as (select * from docs where n_tokens > 0),
+leaves as (select domain, lang, source, sum(n_tokens)::bigint as tokens, 2 * sum(n_tokens)::bigint as cap from base group by all),
+d0 as (select domain, sum(cap)::bigint as cap, case domain when 'a' then 4 when 'b' then 3 when 'c' then 2 else 1 end as weight,
+    least((select sum(tokens) // 2 from leaves), (select sum(cap) from leaves)) as total from leaves group by domain),
+{_fill_sql("d", "0", "domain")},
+l0 as (select x.*, d.budget as total from (select domain, lang, sum(cap)::bigint as cap,
+    case lang when 'en' then 4 when 'de' then 3 when 'fr' then 3 else 2 end as weight from leaves group by domain, lang) x join d using (domain)),
+{_fill_sql("l", "domain", "lang")},
+s0 as (select x.*, l.budget as total from (select *, case when source in ('src0', 'src1') then 3 else 2 end as weight from leaves) x join l using (domain, lang)),
+{_fill_sql("s", "domain, lang", "source")},
+placed as (select b.*, (s.budget // s.tokens)::int as "full", s.budget % s.tokens as rest, {_place_sql('(s.budget // s.tokens)::int')} as place
+    from base b join s using (domain, lang, source)),
+run as (select *, sum(n_tokens) over (partition by domain, lang, source order by place, doc_id nulls first) as upto from placed)
+select doc_id, domain, lang, source, n_tokens, ("full" + (upto <= rest)::int)::int as epochs from run where "full" + (upto <= rest)::int > 0
+"""
