@@ -62,6 +62,13 @@ def op5_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+@query
+def op6_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_scan import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
 # The mix: domains are groups of sources; half the corpus's words, at most two epochs of a source.
 MIX = {
     "share": (1, 2),
