@@ -48,6 +48,13 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@query
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown_lm import brown_scores
+
+    return brown_scores(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminations
