@@ -137,3 +137,65 @@ placed as (select b.*, (s.budget // s.tokens)::int as "full", s.budget % s.token
 run as (select *, sum(n_tokens) over (partition by domain, lang, source order by place, doc_id nulls first) as upto from placed)
 select doc_id, domain, lang, source, n_tokens, ("full" + (upto <= rest)::int)::int as epochs from run where "full" + (upto <= rest)::int > 0
 """
+
+
+def _day(key: F.Column, salt: str) -> F.Column:
+    """A day of the years from 2020, from a hash."""
+    digits = F.conv(F.substring(F.md5(F.concat(F.lit(salt), key)), 1, 6), 16, 10).cast("int")
+    return F.date_add(F.lit("2020-01-01").cast("date"), digits % 1461)
+
+
+def _hex(key: F.Column, salt: str) -> F.Column:
+    return F.substring(F.md5(F.concat(F.lit(salt), key)), 1, 1)
+
+
+@query
+def op2_temporal_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as captures, fetched on a day drawn from their id; a list drawn from their hosts and
+    parent domains, with listings, some of them ended and some of those renewed, and some of paths."""
+    from .url_filters import judge_captures, suffixes, url_host, url_path
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    hosts = pages.select(F.explode(suffixes(url_host(F.col("url")))).alias("pattern")).distinct().where("pattern like '%.%'")
+    paths = pages.select(F.concat(url_host(F.col("url")), F.regexp_extract(url_path(F.col("url")), "^(/[^/]*)", 1)).alias("pattern")).distinct()
+    key = F.col("pattern")
+    on = hosts.where(_hex(key, "h") < "8").union(paths.where(_hex(key, "p") < "4")).distinct()
+    dates = F.array(
+        F.struct(_day(key, "a").alias("at"), F.lit(True).alias("listed")),
+        F.struct(F.when(_hex(key, "x") < "c", _day(key, "b")).alias("at"), F.lit(False).alias("listed")),
+        F.struct(F.when(_hex(key, "y") < "8", _day(key, "c")).alias("at"), F.lit(True).alias("listed")),
+    )
+    entries = on.select("pattern", F.explode(dates).alias("x")).select("pattern", "x.at", "x.listed").where("at is not null")
+    captures = pages.withColumn("fetched_at", _day(F.col("page_id").cast("string"), "f"))
+    return judge_captures(captures, entries, id_col="page_id").withColumn("listed_at", F.col("listed_at").cast("string"))
+
+
+def _day_sql(key: str, salt: str) -> str:
+    return f"(date '2020-01-01' + (('0x' || substr(md5('{salt}' || {key}), 1, 6))::int % 1461))"
+
+
+ORACLE_SQL["op2_temporal_url_list"] = rf"""
+with pg as (select page_id, url, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') as host,
+    case when regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' then '/' else regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) end as path,
+    {_day_sql("page_id::varchar", "f")} as t from pages),
+suffix as (select page_id, t, host, path, array_to_string(labels[k:], '.') as s from (
+    select *, unnest(range(1, len(labels) + 1)) as k from (select *, string_split(host, '.') as labels from pg where host is not null))),
+patterns as (
+    select distinct s as pattern from suffix where s like '%.%' and substr(md5('h' || s), 1, 1) < '8'
+    union
+    select distinct p from (select host || regexp_extract(path, '^(/[^/]*)', 1) as p from pg) where substr(md5('p' || p), 1, 1) < '4'),
+raw as (
+    select pattern, {_day_sql("pattern", "a")} as since, true as listed from patterns
+    union all select pattern, {_day_sql("pattern", "b")}, false from patterns where substr(md5('x' || pattern), 1, 1) < 'c'
+    union all select pattern, {_day_sql("pattern", "c")}, true from patterns where substr(md5('y' || pattern), 1, 1) < '8'),
+entries as (select case when ends_with(pattern, '/') and instr(pattern, '/') = length(pattern) then rtrim(pattern, '/') else pattern end as pattern, since, max(listed) as listed from raw group by 1, 2),
+turns as (select * from (select *, lag(listed) over (partition by pattern order by since) as was from entries) where was is null or was <> listed),
+spans as (select * from (select *, lead(since) over (partition by pattern order by since) as until from turns) where listed),
+prefixes as (select page_id, t, s, unnest(list_distinct(list_concat(ends, list_transform(ends, lambda e: e || '/')))) as p from (
+    select *, list_transform(range(1, len(parts) + 1), lambda k: array_to_string(parts[1:k], '/')) as ends from (
+        select *, string_split(path, '/') as parts from suffix))),
+probes as (select page_id, t, s as pattern from suffix union select page_id, t, s || p from prefixes),
+hits as (select page_id, count(distinct pattern) as n, min(struct_pack(p := pattern, f := since)) as first
+    from probes join spans using (pattern) where t >= since and (until is null or t < until) group by page_id)
+select page_id, host, coalesce(n, 0) > 0 as blocked, coalesce(n, 0)::bigint as n_matches, first.p as pattern, first.f::varchar as listed_at from pg left join hits using (page_id)
+"""
