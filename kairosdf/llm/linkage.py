@@ -100,26 +100,35 @@ def linked_components(
     labelled = work.table("labelled", labelled.select("bucket", "size", "id", "label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
     mixed = work.table("mixed", mixed)
-    rest = work.table("rest", labelled.join(mixed, "bucket"))
+    rest = work.table("rest", labelled.join(mixed, "bucket").join(known, "id"))
     work.drop("members", "labelled", "mixed")
 
-    across = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b"))
-    small = rest.where(F.col("size") <= SMALL_BUCKET).select("bucket", "id", "label")
+    across = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & likely("_a", "_b")
+    small = rest.where(F.col("size") <= SMALL_BUCKET).drop("size")
     pairs = _sides(small, "_a", ("bucket",)).join(_sides(small, "_b", ("bucket",)), "bucket").where(across)
-    pairs = work.table("pairs", candidates(pairs.select("id_a", "id_b").distinct()))
+    pairs = work.table("pairs", pairs.select("id_a", "id_b").distinct())
     links2 = verified(pairs)
 
     large = rest.where(F.col("size") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     large = large.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    large = large.select("bucket", "lo", "hi", "own", "id", "label").join(known, "id").join(heavy, "id")
-    keys = ("bucket", "lo", "hi")
-    a, b = (_sides(large, s, keys) for s in ("_a", "_b"))
+    large = large.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("size", "blocks", "other")
+    large = work.table("large", large)
+    keys = ["bucket", "lo", "hi"]
+    a, b = (_sides(large, s, tuple(keys)) for s in ("_a", "_b"))
+    # members with a likely partner, at most a row each; only they bring their payload
+    partner = (F.col("id_a") != F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & likely("_a", "_b")
+    same = F.lit(True)
+    for c in keys:
+        same &= a[c] == b[c]
+    some = a.join(b, same & partner, "left_semi")
+    some = some.select(*keys, *[F.col(f"{c}_a").alias(c) for c in large.columns if c not in keys])
+    some = work.table("some", some.join(heavy, "id"))
+    a, b = (_sides(some, s, tuple(keys)) for s in ("_a", "_b"))
     # each pair once: of two blocks, either from different blocks or both in the only one
     once = (F.col("own_a") != F.col("own_b")) | (F.col("lo") == F.col("hi"))
-    links3 = a.join(b, list(keys)).where(once & across & likely("_a", "_b") & linked("_a", "_b"))
+    links3 = a.join(b, keys).where(once & across & linked("_a", "_b"))
     more = work.table("links2", links2.union(links3.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
-    work.drop("rest", "payload", "pairs", "facts")
+    work.drop("rest", "payload", "pairs", "facts", "large", "some")
     if more.isEmpty():
         return found
     return connected_components(work, links.union(more), "c2")

@@ -6,7 +6,9 @@ one place further for every coordinate, so coordinate k of a set is
 ``min(P((S(x) - k) mod 2**32))``.  Both are bijections computed on the fly,
 nothing of the ring's size is stored.  Six coordinates make a band; two
 documents with similarity 0.85 share none of the 28 bands with probability
-2e-6.  Every link is confirmed on the full shingle sets.
+2e-6.  Candidates whose
+sets' parities on 1024 places differ more than a link allows, or whose
+signatures' low bits do by far, are dropped, and every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import possible
 from .linkage import linked_components
 from .store import Work
 from .text import as_long, mix64, segment_sum, shingle_sets, slices
 
 BANDS, ROWS = 28, 6
+PARITIES = 1024
 _CHUNK = 1 << 16
 
 
@@ -60,8 +64,43 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix64(parts.reshape(len(signature), bands, rows).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
+def _sketch(signature: np.ndarray) -> np.ndarray:
+    """The two lowest bits of every coordinate, in 64-bit words."""
+    planes = []
+    for k in (0, 1):
+        bits = np.packbits((signature >> np.uint32(k)).astype(np.uint8) & 1, axis=1)
+        planes.append(np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))).view(np.uint64))
+    return np.concatenate(planes, axis=1)
+
+
+def _parities(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of PARITIES places, in 64-bit words.
+
+    Two sets' parities differ in at most as many places as the sets do in shingles.
+    """
+    n = len(offsets) - 1
+    doc = np.repeat(np.arange(n), np.diff(offsets))
+    place = doc * PARITIES + (flat & np.uint64(PARITIES - 1)).astype(np.int64)
+    odd = np.bincount(place, minlength=n * PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, PARITIES), axis=1).view(np.uint64)
+
+
+def _words(bands: int, rows: int) -> tuple[list[str], list[str]]:
+    return [f"p{k}" for k in range(PARITIES // 64)], [f"s{k}" for k in range(2 * -(-bands * rows // 64))]
+
+
+def sketch_distance(percent: int, coordinates: int) -> int:
+    """Sketch bits that may differ at that similarity, with 5.5 standard deviations to spare.
+
+    Coordinates differ with probability q = 1 - similarity, then each bit with 1/2.
+    """
+    q = 1 - percent / 100
+    return int(coordinates * q + 5.5 * (coordinates * (1.5 * q - q * q)) ** 0.5) + 1
+
+
 def _signatures(shingle: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    words = sum(_words(bands, rows), [])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), *((w, pa.int64()) for w in words)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,9 +109,11 @@ def _signatures(shingle: int, bands: int, rows: int):
                 sizes = np.diff(offsets)
                 keys = [segment_sum(mix64(flat + np.uint64(salt)), offsets) for salt in (1, 2)]
                 has = sizes > 0
-                hashes = band_hashes(circulant_minhash(flat, offsets, bands * rows), bands, rows)[has]
+                signature = circulant_minhash(flat, offsets, bands * rows)
+                hashes = band_hashes(signature, bands, rows)[has]
+                facts = np.concatenate((_parities(flat, offsets), _sketch(signature)), axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(has * bands))).astype(np.int32)), as_long(hashes.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(s)), pa.array(sizes), as_long(keys[0]), as_long(keys[1]), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(s)), pa.array(sizes), as_long(keys[0]), as_long(keys[1]), lists, *map(as_long, facts.T)], schema=schema)
 
     return run
 
@@ -105,26 +146,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     work = Work(spark, "minhash")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sig = work.table("sig", base.mapInArrow(_signatures(shingle, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
+    parities, sketch = _words(bands, rows)
+    words = parities + sketch
+    sig = work.table("sig", base.mapInArrow(_signatures(shingle, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>" + "".join(f", {w} long" for w in words)))
 
     named = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("rep"))
-    classes = work.table("classes", classes.select("k1", "k2", F.col("rep.doc_id").alias("id"), F.col("rep.n_shingles").alias("n"), F.col("rep.bands").alias("bands")))
+    classes = named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "bands", *words)).alias("rep"))
+    classes = work.table("classes", classes.select("k1", "k2", F.col("rep.doc_id").alias("id"), F.col("rep.n_shingles").alias("n"), F.col("rep.bands").alias("bands"), *[F.col(f"rep.{w}").alias(w) for w in words]))
     members = classes.select(F.explode("bands").alias("bucket"), "id")
 
     def payload(ids: DataFrame) -> DataFrame:
-        wanted = base.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        wanted = possible(base, [F.col("doc_id")], ids).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
         return wanted.mapInArrow(_sets(shingle), "id long, set array<long>")
 
+    most = sketch_distance(percent, bands * rows)
+
     def likely(x: str, y: str):
         lo, hi = F.least(f"n{x}", f"n{y}"), F.greatest(f"n{x}", f"n{y}")
-        return 100 * lo >= percent * hi
+        differ = lambda ws: sum(F.bit_count(F.col(w + x).bitwiseXOR(F.col(w + y))) for w in ws)
+        apart = (100 + percent) * differ(parities) <= (100 - percent) * (lo + hi)
+        return (100 * lo >= percent * hi) & apart & (differ(sketch) <= most)
 
     def linked(x: str, y: str):
         both = F.size(F.array_intersect(f"set{x}", f"set{y}"))
         return 100 * both >= percent * (F.size(f"set{x}") + F.size(f"set{y}") - both)
 
-    found = linked_components(work, members, classes.select("id", "n"), payload, likely, linked)
+    found = linked_components(work, members, classes.select("id", "n", *words), payload, likely, linked)
     least = work.table("least", _component_ids(classes, found))
     out = sig.select("doc_id", "n_shingles", "k1", "k2").join(least, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
@@ -137,3 +184,12 @@ def _component_ids(classes: DataFrame, found: DataFrame) -> DataFrame:
     own = classes.select("k1", "k2", "id").join(found, "id", "left")
     least = found.groupBy("label").agg(F.min("id").alias("least"))
     return own.join(least, "label", "left").select("k1", "k2", F.coalesce("least", "id").alias("component"))
+
+
+def keep_first_of_group(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, all columns, that are no duplicate of one with a smaller id.
+
+    Rows without an id stay; of rows that repeat an id and a text all stay or none.
+    """
+    groups = near_duplicates(docs, **how).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.alias("docs").join(groups.alias("gone"), F.col("docs.doc_id") == F.col("gone.gone"), "left_anti")
