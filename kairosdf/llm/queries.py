@@ -76,25 +76,26 @@ def op6_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
-# The mix: domains are groups of sources; half the corpus's words, at most two epochs of a source.
-MIX = {
-    "share": (1, 2),
-    "domain": F.translate(F.substring(F.md5("source"), 1, 1), "0123456789abcdef", "aaaabbbbccccdddd"),
-    "weights": {
-        "domain": F.expr("case domain when 'a' then 4 when 'b' then 3 when 'c' then 2 else 1 end"),
-        "lang": F.expr("case lang when 'en' then 4 when 'de' then 3 when 'fr' then 3 else 2 end"),
-        "source": F.expr("case when source in ('src0', 'src1') then 3 else 2 end"),
-    },
-    "max_epochs": 2,
-    "seed": 7,
-}
+def mix_settings() -> dict:
+    """The mix: domains are groups of sources; half the corpus's words, at most two epochs of a source."""
+    return {
+        "share": (1, 2),
+        "domain": F.translate(F.substring(F.md5("source"), 1, 1), "0123456789abcdef", "aaaabbbbccccdddd"),
+        "weights": {
+            "domain": F.expr("case domain when 'a' then 4 when 'b' then 3 when 'c' then 2 else 1 end"),
+            "lang": F.expr("case lang when 'en' then 4 when 'de' then 3 when 'fr' then 3 else 2 end"),
+            "source": F.expr("case when source in ('src0', 'src1') then 3 else 2 end"),
+        },
+        "max_epochs": 2,
+        "seed": 7,
+    }
 
 
 @query
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import select_mix
 
-    return select_mix(_table(spark, sf_dir, "documents"), **MIX)
+    return select_mix(_table(spark, sf_dir, "documents"), **mix_settings())
 
 
 def _fill_sql(name: str, parent: str, key: str) -> str:
