@@ -20,7 +20,8 @@ def dense_ids(df: DataFrame, column: str, index: str) -> DataFrame:
     index is the count of the ranges before plus the place within the range,
     so no task sorts all values.
     """
-    ids = df.select(column).where(F.col(column).isNotNull()).distinct()
+    # kept, as four passes read them; what an executor loses is computed again
+    ids = df.select(column).where(F.col(column).isNotNull()).distinct().persist()
     sample = sorted(x[0] for x in ids.orderBy(F.xxhash64(column), column).limit(BOUNDARY_SAMPLE).collect())
     bounds = sample[:: max(1, len(sample) // RANGES)]
     kind = df.schema[column].dataType
