@@ -56,6 +56,16 @@ def file_sizes(spark: SparkSession, path: str) -> dict[str, int]:
     return {x.getPath().toString(): x.getLen() for x in fs.listStatus(p) if x.isFile()} if fs.exists(p) else {}
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand Python at most BATCH_BYTES of rows at a time, however long their texts are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 class Work:
     """Tables written on the way to one result.
 
@@ -65,6 +75,7 @@ class Work:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, {}
+        bounded_batches(spark)
         atexit.register(self._at_end)
 
     def table(self, what: str, df: DataFrame) -> DataFrame:
