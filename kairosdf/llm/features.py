@@ -29,7 +29,7 @@ RATES = [
 def _distinct_flags(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For values h of documents doc: (order, first of its run in that order, run length in that order)."""
     key = h ^ mix64(doc.astype(np.uint64) + np.uint64(7))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     k = key[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]

@@ -1,6 +1,7 @@
 """Links from buckets, and connected components, without all pairs of a bucket.
 
-Every bucket first compares its members with one centre.  The components of
+Members without a likely partner in a bucket, by a necessary condition on a few
+cheap columns, leave it.  Every bucket then compares its members with one centre.  The components of
 the links found so far then say which buckets still hold members of more than
 one component; only there, and only across components, are members compared
 with each other, small buckets by candidate pairs and large ones in blocks
@@ -10,8 +11,10 @@ Nothing is capped: every pair of a bucket ends in one component or is tested.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from .store import Work
 
 SMALL_BUCKET = 16
 BLOCK = 512
+SAMPLE, HOT = 20_000, 40
 _MASKS = [0, 0x5DEECE66D5DEECE6, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x369DEA0F31A53F85, 0x7F4A7C159E3779B9]
 
 
@@ -57,9 +61,64 @@ def _sides(df: DataFrame, suffix: str, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(c + suffix) for c in df.columns])
 
 
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Members of a bucket in each pair (lo, hi) of its blocks that their own is part of; own tells which."""
+    out = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    out = out.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return out.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("size", "blocks", "other")
+
+
+def with_partner(blocks: DataFrame, fits: Callable[[str, str], Column]) -> DataFrame:
+    """The rows for which some row of the same block pair fits: at most the rows there are, no pairs."""
+    keys = ["bucket", "lo", "hi"]
+    a, b = (blocks.select(*[F.col(c).alias(c + s) for c in blocks.columns]) for s in ("_a", "_b"))
+    same = F.lit(True)
+    for c in keys:
+        same &= F.col(f"{c}_a") == F.col(f"{c}_b")
+    return a.join(b, same & fits("_a", "_b"), "left_semi").select(*[F.col(f"{c}_a").alias(c) for c in blocks.columns])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket, those with an equal one before or after; holds one row back."""
+    last = None
+    for batch in batches:
+        bucket, own = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        if last is not None:
+            bucket, own = np.append(last[0], bucket), np.append(last[1], own)
+        if not len(bucket):
+            continue
+        equal, keep = bucket[1:] == bucket[:-1], np.zeros(len(bucket), bool)
+        keep[1:] |= equal
+        keep[:-1] |= equal
+        keep[0] |= last is not None and last[2]
+        last = bucket[-1], own[-1], keep[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[:-1][keep[:-1]]), pa.array(own[:-1][keep[:-1]])], names=["bucket", "id"])
+    if last is not None and last[2]:
+        yield pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([last[1]])], names=["bucket", "id"])
+
+
+def in_company(keyed: DataFrame) -> DataFrame:
+    """(bucket, id) for the buckets of (id, buckets) that hold more than one row.
+
+    Rows are sorted by bucket and compared with their neighbours, so nothing
+    is held for the many buckets of one.  A bucket that a sample of about
+    SAMPLE rows shows HOT times is known to have company: its rows, which
+    would meet in one task, pass by.  The sample decides on the way only.
+    """
+    hot = keyed.sample(min(1.0, SAMPLE / max(1, keyed.count())), 1).select(F.explode("buckets").alias("bucket"))
+    hot = [r.bucket for r in hot.groupBy("bucket").count().where(f"count >= {HOT}").select("bucket").collect()]  # some SAMPLE * buckets / HOT at most
+    rows = keyed.select(F.explode("buckets").alias("bucket"), "id")
+    passing = []
+    if hot:
+        known = F.broadcast(keyed.sparkSession.createDataFrame([(b,) for b in hot], "bucket long"))
+        passing, rows = [rows.join(known, "bucket", "left_semi")], rows.join(known, "bucket", "left_anti")
+    met = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_neighbours, "bucket long, id long")
+    return met.union(passing[0]) if passing else met
+
+
 def linked_components(
     work: Work,
-    members: DataFrame,
+    keyed: DataFrame,
     facts: DataFrame,
     payload: Callable[[DataFrame], DataFrame],
     likely: Callable[[str, str], Column],
@@ -67,24 +126,32 @@ def linked_components(
 ) -> DataFrame:
     """(id, label) of the ids that have a link.
 
-    members: (bucket, id).  facts: (id, ...), cheap columns of every id;
+    keyed: (id, buckets), an array of longs.  facts: (id, ...), cheap columns of every id;
     likely(x, y) is a necessary condition on them with suffixes x and y, and
     linked(x, y) the exact one on the columns of payload(ids), a table of
     (id, ...).
     """
-    sizes = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    sizes = work.table("buckets", sizes)
-    members = work.table("members", members.join(sizes, "bucket"))
-    work.drop("buckets")
+    centre = [F.min("id").alias("centre"), F.count("*").alias("size")]
+    met = work.table("company", in_company(keyed))
+    sizes = work.table("buckets", met.groupBy("bucket").agg(*centre))
+    members = work.table("members", met.join(sizes, "bucket").select("bucket", "size", "id"))
+    work.drop("buckets", "company")
     known = work.table("facts", facts.join(members.select("id").distinct(), "id", "left_semi"))
 
+    # most buckets hold members that only share its hash: those without a likely partner go, and nothing is lost
+    blocks = work.table("blocks", in_blocks(members.join(known, "id")))
+    alive = with_partner(blocks, lambda x, y: (F.col(f"id{x}") != F.col(f"id{y}")) & likely(x, y)).select("bucket", "id").distinct()
+    alive = work.table("alive", alive)
+    work.drop("members", "blocks")
+    members = work.table("met", alive.join(alive.groupBy("bucket").agg(*centre), "bucket"))
+    work.drop("alive")
+
     def candidates(pairs: DataFrame) -> DataFrame:
         return pairs.join(_sides(known, "_a"), "id_a").join(_sides(known, "_b"), "id_b").where(likely("_a", "_b")).select("id_a", "id_b")
 
     star = members.where("id <> centre").select(F.col("centre").alias("id_a"), F.col("id").alias("id_b")).distinct()
     star = work.table("star", candidates(star))
 
-    # buckets in which the cheap condition leaves nothing still count: a member may be close to another than the centre
     heavy = work.table("payload", payload(members.select("id").distinct()))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -101,7 +168,7 @@ def linked_components(
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
     mixed = work.table("mixed", mixed)
     rest = work.table("rest", labelled.join(mixed, "bucket").join(known, "id"))
-    work.drop("members", "labelled", "mixed")
+    work.drop("met", "labelled", "mixed")
 
     across = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & likely("_a", "_b")
     small = rest.where(F.col("size") <= SMALL_BUCKET).drop("size")
@@ -109,20 +176,11 @@ def linked_components(
     pairs = work.table("pairs", pairs.select("id_a", "id_b").distinct())
     links2 = verified(pairs)
 
-    large = rest.where(F.col("size") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    large = large.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("size", "blocks", "other")
-    large = work.table("large", large)
-    keys = ["bucket", "lo", "hi"]
-    a, b = (_sides(large, s, tuple(keys)) for s in ("_a", "_b"))
-    # members with a likely partner, at most a row each; only they bring their payload
-    partner = (F.col("id_a") != F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & likely("_a", "_b")
-    same = F.lit(True)
-    for c in keys:
-        same &= a[c] == b[c]
-    some = a.join(b, same & partner, "left_semi")
-    some = some.select(*keys, *[F.col(f"{c}_a").alias(c) for c in large.columns if c not in keys])
+    large = work.table("large", in_blocks(rest.where(F.col("size") > SMALL_BUCKET)))
+    # members with a likely partner of another component; only they bring their payload
+    some = with_partner(large, lambda x, y: (F.col(f"id{x}") != F.col(f"id{y}")) & (F.col(f"label{x}") != F.col(f"label{y}")) & likely(x, y))
     some = work.table("some", some.join(heavy, "id"))
+    keys = ["bucket", "lo", "hi"]
     a, b = (_sides(some, s, tuple(keys)) for s in ("_a", "_b"))
     # each pair once: of two blocks, either from different blocks or both in the only one
     once = (F.col("own_a") != F.col("own_b")) | (F.col("lo") == F.col("hi"))

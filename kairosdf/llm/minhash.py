@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import possible
-from .linkage import linked_components
+from .linkage import connected_components, linked_components
 from .store import Work
 from .text import as_long, mix64, segment_sum, shingle_sets, slices
 
@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sig.where("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "bands", *words)).alias("rep"))
     classes = work.table("classes", classes.select("k1", "k2", F.col("rep.doc_id").alias("id"), F.col("rep.n_shingles").alias("n"), F.col("rep.bands").alias("bands"), *[F.col(f"rep.{w}").alias(w) for w in words]))
-    members = classes.select(F.explode("bands").alias("bucket"), "id")
+    keyed = classes.select("id", F.col("bands").alias("buckets"))
 
     def payload(ids: DataFrame) -> DataFrame:
         wanted = possible(base, [F.col("doc_id")], ids).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
@@ -171,14 +171,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = F.size(F.array_intersect(f"set{x}", f"set{y}"))
         return 100 * both >= percent * (F.size(f"set{x}") + F.size(f"set{y}") - both)
 
-    found = linked_components(work, members, classes.select("id", "n", *words), payload, likely, linked)
+    found = linked_components(work, keyed, classes.select("id", "n", *words), payload, likely, linked)
+    found = _with_repeated_ids(work, named, classes, found)
     least = work.table("least", _component_ids(classes, found))
+    work.drop("classes", "again")
     out = sig.select("doc_id", "n_shingles", "k1", "k2").join(least, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(component)
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _with_repeated_ids(work: Work, named: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """The components with the classes joined that an id has more than one of."""
+    again = work.table("again", named.groupBy("doc_id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("doc_id"))
+    if again.isEmpty():
+        return found
+    own = named.join(again, "doc_id").join(classes.select("k1", "k2", "id"), ["k1", "k2"]).select("doc_id", "id")
+    links = own.join(own.groupBy("doc_id").agg(F.min("id").alias("least")), "doc_id").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    return connected_components(work, links.union(found.select("label", "id")), "c3")
+
+
 def _component_ids(classes: DataFrame, found: DataFrame) -> DataFrame:
     """The smallest id of each class's component."""
     own = classes.select("k1", "k2", "id").join(found, "id", "left")
