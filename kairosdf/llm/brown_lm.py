@@ -9,8 +9,8 @@ T is the smoothed class transition, M(c) the counts plus one of class c's
 words (a word never seen counts as one more of its shape); the second term is the unigram model's and gives every pair of classes
 a floor.  Words start in classes by shape (length, script, punctuation); the
 commonest are then moved by exchange clustering: a pass over the corpus counts
-which classes come before and after each of them, and every word of the pass's
-half moves to the class with the largest gain in likelihood.
+which classes come before and after each of them, and one after the other the
+words of the pass's half move to the class with the largest gain in likelihood.
 
 Counts are exact and cover the whole training corpus.  Executors hold two
 things of fixed size: the classes and counts of at most `common` commonest
@@ -166,44 +166,39 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
-def _best_classes(pairs, classes: int):
-    """A mapInArrow function over words with all their contexts: the class with the largest likelihood.
+def move(n: np.ndarray, was: int, left: np.ndarray, right: np.ndarray) -> int:
+    """Put a word of class `was`, with counts of the classes before (left) and after (right) it,
+    where the likelihood is largest, and change the class pair counts n accordingly.
 
-    With the class pair counts fixed, class c gains, from the word's counts l
-    before and r after it, the change of
+    With the word taken out, class c gains the change of
     sum n(a, b) log n(a, b) - sum n(a, .) log n(a, .) - sum n(., b) log n(., b)
-    when those counts are added to row and column c.
+    when its counts are added to row and column c.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = pairs.value.astype(float)
-        for batch in batches:
-            own, old = batch.column("word").to_numpy(), batch.column("old").to_numpy()
-            contexts = batch.column("contexts").to_pylist()
-            best = []
-            for was, rows in zip(old, contexts, strict=True):
-                left, right = np.zeros(classes), np.zeros(classes)
-                for x in rows:
-                    (left if x["context"] < classes else right)[x["context"] % classes] = x["n"]
-                best.append(_move(n, int(was), left, right))
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(best, pa.int64())], names=["word", "best"])
-
-    return run
-
-
-def _move(n: np.ndarray, was: int, left: np.ndarray, right: np.ndarray) -> int:
-    """Class to which a word of class `was` with contexts left and right should belong."""
-    out = n.copy()
-    out[:, was] = np.maximum(out[:, was] - left, 0)
-    out[was, :] = np.maximum(out[was, :] - right, 0)
-    total = left.sum()
-    row, column = out.sum(1), out.sum(0)
-    gain_in = (_xlogx(out + left[:, None]) - _xlogx(out)).sum(0)  # the word's class as the one after
-    gain_out = (_xlogx(out + right[None, :]) - _xlogx(out)).sum(1)  # as the one before
-    fixed = (_xlogx(row + right.sum()) - _xlogx(row)) + (_xlogx(column + total) - _xlogx(column))
-    gain = gain_in + gain_out - fixed
+    n[:, was] = np.maximum(n[:, was] - left, 0)
+    n[was, :] = np.maximum(n[was, :] - right, 0)
+    row, column = n.sum(1), n.sum(0)
+    same = _xlogx(n)
+    gain = (_xlogx(n + left[:, None]) - same).sum(0) + (_xlogx(n + right[None, :]) - same).sum(1)
+    gain -= (_xlogx(row + right.sum()) - _xlogx(row)) + (_xlogx(column + left.sum()) - _xlogx(column))
     gain[END_CLASS] = -np.inf
-    return int(np.argmax(gain))
+    best = int(np.argmax(gain))
+    n[:, best] += left
+    n[best, :] += right
+    return best
+
+
+def exchange(pairs: np.ndarray, classes: np.ndarray, words: np.ndarray, contexts: pa.Table) -> np.ndarray:
+    """The words' new classes, one word moved after the other; contexts: (word, context, n)."""
+    k = len(pairs)
+    counts = np.zeros((len(words), 2 * k))
+    place = np.full(len(classes), -1)
+    place[words] = np.arange(len(words))
+    counts[place[contexts["word"].to_numpy()], contexts["context"].to_numpy()] = contexts["n"].to_numpy()
+    n, out = pairs.astype(float), classes.copy()
+    for w, c in zip(words, counts, strict=True):
+        if c.any():
+            out[w] = move(n, int(out[w]), c[:k], c[k:])
+    return out
 
 
 @dataclass
@@ -220,7 +215,7 @@ def held_out(id_column: str):
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % FOLDS == HELD_OUT_FOLD, F.lit(False))
 
 
-def train(docs: DataFrame, work: Work, *, text_col: str = "text", classes: int = 48, common: int = 1 << 20, clustered: int = 1 << 15, least_count: int = 50, passes: int = 2, mix: float = 0.1, discount: float = 0.5) -> BrownModel:
+def train(docs: DataFrame, work: Work, *, text_col: str = "text", classes: int = 48, common: int = 1 << 20, clustered: int = 1 << 14, least_count: int = 50, passes: int = 2, mix: float = 0.1, discount: float = 0.5) -> BrownModel:
     """Fit on all rows of docs.
 
     common bounds the words whose counts executors hold, clustered those that
@@ -260,12 +255,9 @@ def train(docs: DataFrame, work: Work, *, text_col: str = "text", classes: int =
         rows = text.mapInArrow(_contexts(shared, may, classes), "word long, context long, n long").groupBy("word", "context").agg(F.sum("n").alias("n"))
         rows = work.table(f"contexts{p}", rows)
         pairs = _pairs(rows, classes)
-        # `clustered` words at most, 2 * classes contexts each
-        own = rows.where("word >= 0").groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("contexts"))
-        old = spark.createDataFrame(pa.table({"word": pa.array(np.flatnonzero(may)), "old": pa.array(table.classes[may].astype(np.int64))}))
-        moved = own.join(old, "word").select("word", "old", "contexts").mapInArrow(_best_classes(spark.sparkContext.broadcast(pairs), classes), "word long, best long").toArrow()
-        table = CommonWords(table.keys, table.counts, table.classes.copy())
-        table.classes[moved["word"].to_numpy()] = moved["best"].to_numpy()
+        # at most `clustered` words with 2 * classes contexts each; words in the order of their counts
+        own = rows.where("word >= 0").toArrow()
+        table = CommonWords(table.keys, table.counts, exchange(pairs, table.classes, moving[p % 2 :: 2], own))
         work.drop(f"contexts{p}")
     shared = spark.sparkContext.broadcast(table)
     rows = text.mapInArrow(_contexts(shared, None, classes), "word long, context long, n long").groupBy("word", "context").agg(F.sum("n").alias("n"))
@@ -292,8 +284,8 @@ def _pairs(rows: DataFrame, classes: int) -> np.ndarray:
 
 def _transition(pairs: np.ndarray, mass: np.ndarray, tokens: int, types: int, mix: float, discount: float) -> np.ndarray:
     """log10[(1 - mix) * T / M + mix / (N + V + SHAPES)]; T by absolute discounting over the class unigram."""
-    total = pairs.sum()
-    unigram = (pairs.sum(0) + 1) / (total + len(pairs))
+    unigram = (pairs.sum(0) + 1) * (mass > 0)  # a class without words gets nothing
+    unigram /= unigram.sum()
     rows = pairs.sum(1, keepdims=True)
     kept = np.maximum(pairs - discount, 0)
     t = np.where(rows > 0, (kept + (rows - kept.sum(1, keepdims=True)) * unigram) / np.maximum(rows, 1), unigram)
@@ -317,8 +309,8 @@ def _score(common, transition):
                 before = np.empty_like(c)
                 before[1:], before[starts] = c[:-1], END_CLASS
                 known = at >= 0
-                logs = np.bincount(doc[known], log_counts[at[known]], n)
-                order = np.bincount(doc, step[before, c], n)
+                logs = np.bincount(doc[known], log_counts[at[known]], n).astype(float)
+                order = np.bincount(doc, step[before, c], n).astype(float)
                 ids = batch.column(0).slice(s.first, n)
                 yield _scored(ids, s.counts() + 1, np.bincount(doc[known], minlength=n), logs, order)
                 rare = np.flatnonzero(~known)
