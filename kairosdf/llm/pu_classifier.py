@@ -10,7 +10,9 @@ non-negative unbiased risk with the logistic loss,
     prior * R_P(+)  +  max(0, R_U(-) - prior * R_P(-)),
 
 stepping back along the second term's gradient where it is negative, so that
-its output is a probability of being good.
+its output is a probability of being good.  An overestimated prior would keep
+that term negative for ever, so the estimate is lowered by a margin first, and
+again while the term doesn't recover.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import RATES, rates, vectors
+from .store import bounded_batches
 
 THRESHOLD = 0.3
 FOLDS, HELD_OUT_FOLD = 5, 0
+MARGIN = 0.03
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -112,7 +116,13 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, *, bins: int = 16, step
             return -down
         return prior * _push(cp, -_sigmoid(-zp) / len(cp), size) + down + ridge * w
 
-    return PUModel(edges, _descend(zero, risk, steps, rate), prior)
+    # a second term that stays below zero says that the prior is too high
+    for _ in range(20):
+        prior *= 1 - MARGIN
+        w = _descend(zero, risk, steps, rate)
+        if np.logaddexp(0, _logit(cu, w)).mean() - prior * np.logaddexp(0, _logit(cp, w)).mean() > -0.02 * prior:
+            break
+    return PUModel(edges, w, prior)
 
 
 def held_out(id_column: str):
@@ -134,6 +144,7 @@ def _vectors(docs: DataFrame, keep: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = 10_000, unlabelled: int = 20_000, seed: int = 23) -> PUModel | None:
     """Fit on at most `positives` labelled good rows and `unlabelled` rows, those with the
     smallest hashes of their ids; both leave out the held-out fold.  None without positives."""
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(~held_out("doc_id") & F.col("doc_id").isNotNull())
     ids = base.select("doc_id")
     order = (F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
