@@ -4,8 +4,8 @@ A mask fixes which places of a window of eleven words count; the others may
 hold anything, so a hit survives substitutions there.  Every window of every
 benchmark item is hashed under each mask, and so is every window of every
 training text; equal hashes join into (document, item, alignment) candidates.
-The words around a hit are then compared along its alignment, and the best
-stretch, a match counting 1 and a substitution -4, must be long enough.
+The words around a hit are then compared along its alignment, and the longest
+stretch with at most one word in five substituted must be long enough.
 
 Training windows that no benchmark window can equal are dropped before the
 join by a bitmap of the benchmark hashes, of a fixed size whatever the
@@ -135,6 +135,25 @@ def best_stretch(match: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(match[start:end].sum())
 
 
+def longest_stretch(match: np.ndarray, from_start: bool = True, to_end: bool = True) -> tuple[int, int, int]:
+    """(start, end, matches) of the longest stretch in which at most one word in PENALTY + 1 is
+    substituted, the first of equals.  It begins and ends with a match, or where the item does
+    (from_start, to_end tell whether match reaches there): words beside a copied passage don't lengthen it."""
+    n = len(match)
+    total = np.concatenate(([0], np.cumsum(np.where(match, 1, -PENALTY))))
+    begins, ends = np.append(match, False), np.append(False, match)
+    if n:
+        begins[0] |= from_start
+        ends[n] |= to_end
+    place = np.arange(n + 1)
+    # the first place to begin from which the sum up to each end isn't negative
+    low = np.minimum.accumulate(np.where(begins, total, np.iinfo(np.int64).max))
+    start = np.where(ends, np.minimum(np.searchsorted(-low, -total), place), place)
+    end = int(np.argmax(place - start))
+    start = int(start[end])
+    return start, end, int(match[start:end].sum())
+
+
 def _word_hashes(column: pa.Array) -> Iterator[np.ndarray]:
     for s in slices(column):
         h = s.hashes()
@@ -154,7 +173,7 @@ def _verify(min_overlap: int):
                 best = None
                 for shift in sorted(shifts):
                     first, last = max(0, -shift), min(len(item), len(doc) - shift)
-                    start, end, n = best_stretch(item[first:last] == doc[first + shift : last + shift])
+                    start, end, n = longest_stretch(item[first:last] == doc[first + shift : last + shift], first == 0, last == len(item))
                     if end - start >= min(min_overlap, len(item)) and (best is None or n > best[-1]):
                         best = (doc_id, rid, item_id, first + shift + start, first + start, end - start, n)
                 if best:
@@ -167,7 +186,7 @@ def _verify(min_overlap: int):
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_overlap: int = MIN_OVERLAP) -> DataFrame:
     """One row per document and benchmark item that overlap: doc_id, item_id, rid (tells rows
-    that share an id apart), where the best stretch begins in each, its words, its matches.
+    that share an id apart), where the longest stretch begins in each, its words, its matches.
 
     A stretch must have min_overlap words, or the item's all if it has fewer;
     at most one word in five of it is substituted.  Case of A-Z and white

@@ -75,3 +75,29 @@ def test_best_stretch():
 
     assert D.best_stretch(np.array([1, 1, 0, 1, 1, 1, 1, 1, 0, 0, 1], bool)) == (3, 8, 5)
     assert D.best_stretch(np.array([], bool)) == (0, 0, 0) and D.best_stretch(np.array([0, 0], bool))[2] == 0
+
+
+def test_substitutions_at_every_position():
+    """Whole items of 13 to 22 words, verified along their alignment, with as many substitutions as one in five allows."""
+    from itertools import combinations
+
+    import numpy as np
+
+    for n in range(13, 23):
+        for k in range(1, 4):
+            for gone in combinations(range(n), k):
+                match = np.ones(n, bool)
+                match[list(gone)] = False
+                start, end, matches = D.longest_stretch(match)
+                assert 5 * (end - start - matches) <= end - start and matches == match[start:end].sum()
+                assert end - start >= D.MIN_OVERLAP or 5 * k > n
+    inside = np.array([0] * 2 + [1] * 12 + [0] * 2, bool)
+    assert D.longest_stretch(inside, False, False) == (2, 14, 12)
+    assert D.longest_stretch(np.array([], bool)) == (0, 0, 0) and D.longest_stretch(np.array([0, 0], bool)) == (0, 0, 0)
+
+
+def test_one_substitution_in_the_middle_of_a_short_item(spark):
+    item = [f"w{k}" for k in range(16)]
+    rows = [(at, " ".join(["a", "b", *item[:at], "other", *item[at + 1 :], "c"]), "en", "s", 0) for at in range(16)]
+    got = {r.doc_id for r in D.contaminations(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == set(range(16))
