@@ -1,10 +1,17 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask fixes which places of a window of eleven words count; the others may
-hold anything, so a hit survives substitutions there.  Every window of every
-benchmark item is hashed under each mask, and so is every window of every
-training text; equal hashes join into (document, item, alignment) candidates.
-The words around a hit are then compared along its alignment, and the longest
+A window of min_overlap words is cut into groups by its places modulo G; a mask
+counts the places of three groups and ignores the others.  With all choices of
+three of G groups as masks, G - 3 substitutions spoil at most as many groups,
+so some mask still hits, wherever they are.  G - 3 is one more than the
+substitutions that min_overlap words may have (one in five), so a longer stretch
+is missed only if four or more of its substitutions crowd into every one of its windows.
+Items shorter than a window are windows of their own length, under masks for
+the substitutions that they may have, which miss nothing.
+
+Every window of every benchmark item is hashed under each mask, and so is every
+window of every training text; equal hashes join into (document, item)
+candidates.  Their common windows give the alignments, along which the longest
 stretch with at most one word in five substituted must be long enough.
 
 Training windows that no benchmark window can equal are dropped before the
@@ -15,124 +22,105 @@ benchmark's; it only lets more through as the benchmark grows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import bitmap, contains, possible
 from .store import Work
 from .text import as_long, mix64, slices
 
-# eight of eleven places count in each mask
-MASKS = ("11101101011", "11011010111", "11110010111", "10111101101")
-SPAN = 11
 MIN_OVERLAP = 13
 PENALTY = 4
-BITMAP_BITS = 1 << 25
-_WEIGHT = mix64(np.arange(901, 901 + SPAN, dtype=np.uint64)) | np.uint64(1)
+KEPT = 3
 
 
-def _masks() -> list[list[int]]:
-    return [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
+def _weights(n: int) -> np.ndarray:
+    return mix64(np.arange(901, 901 + n, dtype=np.uint64)) | np.uint64(1)
 
 
-def spaced_hashes(h: np.ndarray, mask: int) -> np.ndarray:
-    """Hash under one mask of the window that begins at each word."""
-    m = len(h) - SPAN + 1
+def n_groups(n: int, min_overlap: int) -> int:
+    """Groups that the places of a window of n words fall into: three more than substitutions to survive."""
+    return KEPT + n // (PENALTY + 1) + (n == min_overlap)
+
+
+def window_hashes(h: np.ndarray, n: int, groups: int) -> Iterator[np.ndarray]:
+    """For each mask, the hash of the window of n words that begins at each word."""
+    m = len(h) - n + 1
     if m <= 0:
-        return np.empty(0, np.uint64)
-    out = np.full(m, mask + 1, np.uint64)
-    for i in _masks()[mask]:
-        out += h[i : i + m] * _WEIGHT[i]
-    return mix64(out)
-
-
-def _short_hash(h: np.ndarray) -> np.uint64:
-    """Of a text shorter than a window, under the first mask with what is missing left out."""
-    return mix64(np.array([(h * _WEIGHT[: len(h)]).sum() + np.uint64(1000 + len(h))]))[0]
-
-
-def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item_id, at, hash) of the windows of whole benchmark texts; a short text is one window."""
-    for batch in batches:
-        for s in slices(batch.column(1)):
-            h = s.hashes()
-            item, at, value = [], [], []
-            for d in range(len(s)):
-                own = h[s.words[d] : s.words[d + 1]]
-                if 0 < len(own) < SPAN:
-                    found = [(0, _short_hash(own))]
-                else:
-                    found = [(i, v) for m in range(len(MASKS)) for i, v in enumerate(spaced_hashes(own, m))]
-                item += [d] * len(found)
-                at += [i for i, _ in found]
-                value += [v for _, v in found]
-            ids = batch.column(0).slice(s.first, len(s)).take(pa.array(item, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int32()), as_long(np.array(value, np.uint64))], names=["item_id", "at", "hash"])
-
-
-def _bitmap_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The non-zero 64-bit words of the bitmap of a partition's hashes."""
-    bits = np.zeros(BITMAP_BITS // 64, np.uint64)
-    for batch in batches:
-        at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS.bit_length() + 1)
-        np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    word = np.flatnonzero(bits)
-    yield pa.RecordBatch.from_arrays([pa.array(word), as_long(bits[word])], names=["word", "bits"])
-
-
-def _bitmap(windows: DataFrame) -> np.ndarray:
-    """At most BITMAP_BITS / 64 rows, 4 MB of bits, reach the driver."""
-    parts = windows.select("hash").mapInArrow(_bitmap_parts, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(BITMAP_BITS // 64, np.uint64)
-    bits[parts["word"].to_numpy()] = parts["bits"].to_numpy().view(np.uint64)
-    return bits
-
-
-def _hits(bitmap, short_lengths: list[int]):
-    """A mapInArrow function: (doc_id, rid, at, hash) of the windows in the bitmap."""
-    shift = np.uint64(64 - BITMAP_BITS.bit_length() + 1)
-
-    def in_bitmap(x: np.ndarray) -> np.ndarray:
-        at = x >> shift
-        return np.flatnonzero((bitmap.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+        return
+    weights = _weights(n)
+    sums = np.zeros((groups, m), np.uint64)
+    for i in range(n):
+        sums[i % groups] += h[i : i + m] * weights[i]
+    for k, mask in enumerate(combinations(range(groups), KEPT)):
+        yield mix64(sum(sums[g] for g in mask[1:]) + sums[mask[0]] + np.uint64((n << 16) + k + 1))
+
+
+def _item_windows(min_overlap: int):
+    """A mapInArrow function: (item_id, hash), each once, of the windows of whole benchmark texts; a short text is one window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in slices(batch.column(1)):
+                h = s.hashes()
+                item, value = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+                for d in range(len(s)):
+                    own = h[s.words[d] : s.words[d + 1]]
+                    n = min(len(own), min_overlap)
+                    found = [x for x in window_hashes(own, n, n_groups(n, min_overlap))] if n else []
+                    if found:
+                        value.append(np.unique(np.concatenate(found)))
+                        item.append(np.full(len(value[-1]), d))
+                ids = batch.column(0).slice(s.first, len(s)).take(pa.array(np.concatenate(item)))
+                yield pa.RecordBatch.from_arrays([ids, as_long(np.concatenate(value))], names=["item_id", "hash"])
+
+    return run
+
+
+def _hits(bits, lengths: list[int], min_overlap: int):
+    """A mapInArrow function: (doc_id, rid, hash), each once a document, of the windows in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch.column(2)):
                 h = s.hashes()
-                at, value = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-                for m in range(len(MASKS)):
-                    x = spaced_hashes(h, m)
-                    k = in_bitmap(x)
-                    at.append(k), value.append(x[k])
-                for n in short_lengths:  # benchmark texts of n < SPAN words
-                    if len(h) >= n:
-                        x = np.full(len(h) - n + 1, 1000 + n, np.uint64)
-                        for i in range(n):
-                            x += h[i : i + len(x)] * _WEIGHT[i]
-                        x = mix64(x)
-                        k = in_bitmap(x)
-                        at.append(k), value.append(x[k])
-                at, value = np.concatenate(at), np.concatenate(value)
-                doc = np.searchsorted(s.words, at, "right") - 1
-                own = [batch.column(k).slice(s.first, len(s)).take(pa.array(doc)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array((at - s.words[doc]).astype(np.int32)), as_long(value)], names=["doc_id", "rid", "at", "hash"])
+                doc, value = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+                for n in lengths:
+                    for x in window_hashes(h, n, n_groups(n, min_overlap)):
+                        at = np.flatnonzero(contains(bits.value, x))
+                        d = np.searchsorted(s.words, at, "right") - 1
+                        own = at + n <= s.words[d + 1]  # not across documents
+                        doc.append(d[own]), value.append(x[at[own]])
+                doc, value = np.concatenate(doc), np.concatenate(value)
+                order = np.lexsort((value, doc))
+                doc, value = doc[order], value[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
+                own = [batch.column(k).slice(s.first, len(s)).take(pa.array(doc[new])) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, as_long(value[new])], names=["doc_id", "rid", "hash"])
 
     return run
 
 
-def best_stretch(match: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, matches) of the stretch with the highest sum of +1 and -PENALTY, the first of equals."""
-    if not len(match):
-        return 0, 0, 0
-    total = np.concatenate(([0], np.cumsum(np.where(match, 1, -PENALTY))))
-    low = np.minimum.accumulate(total)
-    gain = total - low
-    end = int(np.argmax(gain))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return start, end, int(match[start:end].sum())
+def alignments(doc: np.ndarray, item: np.ndarray, min_overlap: int) -> np.ndarray:
+    """The shifts, ascending, at which some window of the item equals one of the document under a mask."""
+    n = min(len(item), min_overlap)
+    if not n:
+        return np.empty(0, np.int64)
+    shifts = [np.empty(0, np.int64)]
+    groups = n_groups(n, min_overlap)
+    for x, y in zip(window_hashes(doc, n, groups), window_hashes(item, n, groups), strict=False):
+        order = np.argsort(y, kind="stable")
+        lo, hi = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
+        # places of the document whose window occurs k times in the item, for each k in turn
+        for k in range(int((hi - lo).max(initial=0))):
+            at = np.flatnonzero(hi - lo > k)
+            shifts.append(np.unique(at - order[lo[at] + k]))
+    return np.unique(np.concatenate(shifts))
 
 
 def longest_stretch(match: np.ndarray, from_start: bool = True, to_end: bool = True) -> tuple[int, int, int]:
@@ -162,16 +150,16 @@ def _word_hashes(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _verify(min_overlap: int):
-    """A mapInArrow function over (doc_id, rid, text, item_id, item, shifts)."""
+    """A mapInArrow function over (doc_id, rid, text, item_id, item)."""
     names = ["doc_id", "rid", "item_id", "doc_word", "item_word", "n_words", "n_matches"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            ids = zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 5)), strict=True)
-            for (doc_id, rid, item_id, shifts), doc, item in zip(ids, _word_hashes(batch.column(2)), _word_hashes(batch.column(4)), strict=True):
+            ids = zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True)
+            for (doc_id, rid, item_id), doc, item in zip(ids, _word_hashes(batch.column(2)), _word_hashes(batch.column(4)), strict=True):
                 best = None
-                for shift in sorted(shifts):
+                for shift in alignments(doc, item, min_overlap).tolist():
                     first, last = max(0, -shift), min(len(item), len(doc) - shift)
                     start, end, n = longest_stretch(item[first:last] == doc[first + shift : last + shift], first == 0, last == len(item))
                     if end - start >= min(min_overlap, len(item)) and (best is None or n > best[-1]):
@@ -189,32 +177,42 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_
     that share an id apart), where the longest stretch begins in each, its words, its matches.
 
     A stretch must have min_overlap words, or the item's all if it has fewer;
-    at most one word in five of it is substituted.  Case of A-Z and white
+    at most one word in five of it is substituted, and it begins and ends with
+    a word that matches or where the item does.  Of stretches with as many
+    matches the one that begins first in the document, counted from the item's
+    beginning, is returned.  Case of A-Z and white
     space don't matter.  Null and wordless texts overlap with nothing; rows
-    without an id are searched and returned with a null doc_id.  Repeated rows
-    give one row.  Only the named columns are read.
+    without an id are searched and returned with a null doc_id, items without
+    one are left out.  Repeated rows give one row, items of one id and several
+    texts a row for each text that overlaps.  Texts of any length are searched whole.  An
+    empty table on either side gives an empty result.  Only the named columns are read.
     """
     spark = docs.sparkSession
     work = Work(spark, "decontaminate")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("item")).where("item_id is not null")
-    windows = work.table("windows", items.mapInArrow(_item_windows, "item_id long, at int, hash long"))
-    short = items.select(F.size(F.filter(F.split("item", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).alias("n")).where(f"n between 1 and {SPAN - 1}").distinct()
-    bitmap = spark.sparkContext.broadcast(_bitmap(windows))  # BITMAP_BITS, whatever the tables
+    windows = work.table("windows", items.mapInArrow(_item_windows(min_overlap), "item_id long, hash long").distinct())
+    bits = spark.sparkContext.broadcast(bitmap(windows.select("hash")))  # 4 MB, whatever the tables
+    n = F.least(F.size(F.filter(F.split("item", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")), F.lit(min_overlap))
+    lengths = sorted(r.n for r in items.select(n.alias("n")).where("n > 0").distinct().collect())  # min_overlap at most
     text = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("rid"), text.alias("text"))
-    hits = base.mapInArrow(_hits(bitmap, sorted(r.n for r in short.collect())), "doc_id long, rid long, at int, hash long")
-    found = hits.join(windows.withColumnRenamed("at", "item_at"), "hash").select("doc_id", "rid", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
-    found = work.table("candidates", found.groupBy("doc_id", "rid", "item_id").agg(F.collect_set("shift").alias("shifts")))
+    hits = base.mapInArrow(_hits(bits, lengths, min_overlap), "doc_id long, rid long, hash long")
+    found = work.table("candidates", hits.join(windows, "hash").select("doc_id", "rid", "item_id").distinct())
     work.drop("windows")
-    same = base["doc_id"].eqNullSafe(F.col("c_id")) & (base["rid"] == F.col("c_rid"))
-    pairs = base.join(found.select(F.col("doc_id").alias("c_id"), F.col("rid").alias("c_rid"), "item_id", "shifts"), same)
-    pairs = pairs.join(items, "item_id").select("doc_id", "rid", "text", "item_id", "item", "shifts")
+    some = possible(base, [F.col("doc_id"), F.col("rid")], found.select("doc_id", "rid"))
+    same = some["doc_id"].eqNullSafe(F.col("c_id")) & (some["rid"] == F.col("c_rid"))
+    pairs = some.join(found.select(F.col("doc_id").alias("c_id"), F.col("rid").alias("c_rid"), "item_id"), same)
+    pairs = pairs.join(items, "item_id").select("doc_id", "rid", "text", "item_id", "item")
     out = pairs.mapInArrow(_verify(min_overlap), "doc_id long, rid long, item_id long, doc_word long, item_word long, n_words long, n_matches long")
     return work.table("found", out.distinct())
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that overlap with no benchmark item."""
+    """The rows of docs, all columns, that overlap with no benchmark item.
+
+    Null and wordless texts stay, rows without an id are judged like others;
+    an empty benchmark removes nothing, an empty table gives an empty one.
+    """
     found = contaminations(docs, benchmark).select(F.col("doc_id").alias("c_id"), F.col("rid").alias("c_rid")).distinct()
     # same columns as docs even where those have these names: an anti join returns its left side only
     left = docs.alias("docs")

@@ -6,18 +6,17 @@ from kairosdf.llm import decontaminate as D
 
 
 def overlaps(doc, item):
-    """Whether on some alignment the stretch with the highest score is long enough, by definition."""
+    """By definition: on some alignment a stretch of 13 words, or of the whole item if it is shorter, with at most
+    one word in five substituted, which begins and ends with a match or where the item does."""
+    need = min(13, len(item))
     for shift in range(-len(item), len(doc)):
+        match = [0 <= k + shift < len(doc) and doc[k + shift] == w for k, w in enumerate(item)]
         first, last = max(0, -shift), min(len(item), len(doc) - shift)
-        best, length = 0, 0
         for a in range(first, last):
-            score = 0
-            for b in range(a, last):
-                score += 1 if item[b] == doc[b + shift] else -D.PENALTY
-                if score > best:
-                    best, length = score, b - a + 1
-        if length >= min(D.MIN_OVERLAP, len(item)) and length:
-            return True
+            for b in range(a + need, last + 1):
+                edges = (match[a] or a == 0) and (match[b - 1] or b == len(item))
+                if edges and 5 * (b - a - sum(match[a:b])) <= b - a:
+                    return True
     return False
 
 
@@ -70,11 +69,48 @@ def test_odd_rows(odd_docs, no_docs, spark):
     assert D.drop_contaminated(odd_docs, items.where("false")).count() == odd_docs.count()
 
 
-def test_best_stretch():
+def hit(item, doc, shift=0):
     import numpy as np
 
-    assert D.best_stretch(np.array([1, 1, 0, 1, 1, 1, 1, 1, 0, 0, 1], bool)) == (3, 8, 5)
-    assert D.best_stretch(np.array([], bool)) == (0, 0, 0) and D.best_stretch(np.array([0, 0], bool))[2] == 0
+    return shift in D.alignments(np.array(doc, np.uint64), np.array(item, np.uint64), D.MIN_OVERLAP)
+
+
+def test_masks_miss_no_short_item():
+    """All substitutions that an item of up to 13 words may have."""
+    from itertools import combinations
+
+    for n in range(1, 14):
+        item = list(range(100, 100 + n))
+        for k in range(n // 5 + 1):
+            for gone in combinations(range(n), k):
+                assert hit(item, [9, *[7 if i in gone else w for i, w in enumerate(item)], 8], 1)
+
+
+def test_recall_of_the_masks_on_longer_items():
+    rng = random.Random(3)
+    missed = 0
+    for trial in range(2000):
+        n = rng.randint(14, 60)
+        item = list(range(100, 100 + n))
+        gone = set(rng.sample(range(n), n // 5))
+        missed += not hit(item, [7 if i in gone else w for i, w in enumerate(item)])
+    assert missed <= 4  # 0.998
+
+
+def test_repeated_windows(spark):
+    """One word 20,000 times against an item of the same word: one row, as any alignment is as good."""
+    docs = spark.createDataFrame([(1, "so " * 20_000, "en", "s", 0), (2, "so " * 12, "en", "s", 0)], SCHEMA)
+    items = spark.createDataFrame([(1, "so " * 40), (2, "so " * 5)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.doc_word, r.n_words) for r in D.contaminations(docs, items).collect()}
+    assert got == {(1, 1): (0, 40), (1, 2): (0, 5), (2, 2): (0, 5)}
+
+
+def test_items_with_one_id(spark):
+    rng = random.Random(4)
+    a, b = prose(rng, 20), prose(rng, 20)
+    docs = spark.createDataFrame([(None, f"x {a} y {b}", "en", "s", 0), (None, f"{b} z", "en", "s", 0)], SCHEMA)
+    got = D.contaminations(docs, spark.createDataFrame([(1, a), (1, b)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.doc_word) for r in got if True) == [(None, 1, 0), (None, 1, 1), (None, 1, 22)]
 
 
 def test_substitutions_at_every_position():
