@@ -1,12 +1,14 @@
 """Links from buckets, and connected components, without all pairs of a bucket.
 
-Members without a likely partner in a bucket, by a necessary condition on a few
-cheap columns, leave it.  Every bucket then compares its members with one centre.  The components of
-the links found so far then say which buckets still hold members of more than
-one component; only there, and only across components, are members compared
-with each other, small buckets by candidate pairs and large ones in blocks
-whose join condition is the exact test, so that only links leave the join.
-Nothing is capped: every pair of a bucket ends in one component or is tested.
+Every member is first compared with one centre, the least member of one of its
+buckets that it is likely to be linked with.  The components of the links found
+so far then say which buckets still hold members of more than one component;
+only there, and only across components, are members compared with each other:
+small buckets by candidate pairs, and in large ones the members outside the
+largest component with all, in blocks whose join condition is the exact test,
+so that only links leave the join.  A bucket of one large group costs rows in
+proportion to its size.  Nothing is capped: every pair of a bucket ends in one
+component or is tested.
 """
 
 from __future__ import annotations
@@ -61,21 +63,33 @@ def _sides(df: DataFrame, suffix: str, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(c + suffix) for c in df.columns])
 
 
-def in_blocks(members: DataFrame) -> DataFrame:
-    """Members of a bucket in each pair (lo, hi) of its blocks that their own is part of; own tells which."""
-    out = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    out = out.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return out.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("size", "blocks", "other")
+def in_blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two sides to join on bucket, ra and rb: the members outside their bucket's largest component,
+    and all of them.  n members, m of them outside, make about 2 * n * m / BLOCK + n rows, and no
+    (bucket, ra, rb) holds more than about BLOCK of either side.
 
-
-def with_partner(blocks: DataFrame, fits: Callable[[str, str], Column]) -> DataFrame:
-    """The rows for which some row of the same block pair fits: at most the rows there are, no pairs."""
-    keys = ["bucket", "lo", "hi"]
-    a, b = (blocks.select(*[F.col(c).alias(c + s) for c in blocks.columns]) for s in ("_a", "_b"))
+    members: (bucket, id, label, ...); of components of one size the least label's is the largest.
+    """
+    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct(F.col("n"), (-F.col("label")).alias("label"))).alias("top"), F.sum("n").alias("n"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    largest = largest.select("bucket", (-F.col("top.label")).alias("main"), blocks(F.col("n") - F.col("top.n")).alias("outside"), blocks(F.col("n")).alias("all"))
+    rows = members.join(largest, "bucket")
+    place = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = rows.where("label <> main").withColumn("ra", place("outside", 1)).withColumn("rb", every("all"))
+    many = rows.withColumn("rb", place("all", 2)).withColumn("ra", every("outside"))
+    # a pair of two members outside would meet twice, and is tested where its smaller id is on the left
+    return few.drop("outside", "all"), many.drop("outside", "all")
+
+
+def partners(few: DataFrame, many: DataFrame, fits: Callable[[str, str], Column]) -> Column:
+    """The condition under which a row of few and one of many, with suffixes _a and _b, are a pair to test."""
     same = F.lit(True)
-    for c in keys:
+    for c in ("bucket", "ra", "rb"):
         same &= F.col(f"{c}_a") == F.col(f"{c}_b")
-    return a.join(b, same & fits("_a", "_b"), "left_semi").select(*[F.col(f"{c}_a").alias(c) for c in blocks.columns])
+    once = (F.col("label_b") == F.col("main_b")) | (F.col("id_a") < F.col("id_b"))
+    return same & (F.col("label_a") != F.col("label_b")) & once & fits("_a", "_b")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,62 +145,51 @@ def linked_components(
     linked(x, y) the exact one on the columns of payload(ids), a table of
     (id, ...).
     """
-    centre = [F.min("id").alias("centre"), F.count("*").alias("size")]
     met = work.table("company", in_company(keyed))
-    sizes = work.table("buckets", met.groupBy("bucket").agg(*centre))
-    members = work.table("members", met.join(sizes, "bucket").select("bucket", "size", "id"))
+    sizes = work.table("buckets", met.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("size")))
+    members = work.table("members", met.join(sizes, "bucket").select("bucket", "size", "centre", "id"))
     work.drop("buckets", "company")
-    known = work.table("facts", facts.join(members.select("id").distinct(), "id", "left_semi"))
-
-    # most buckets hold members that only share its hash: those without a likely partner go, and nothing is lost
-    blocks = work.table("blocks", in_blocks(members.join(known, "id")))
-    alive = with_partner(blocks, lambda x, y: (F.col(f"id{x}") != F.col(f"id{y}")) & likely(x, y)).select("bucket", "id").distinct()
-    alive = work.table("alive", alive)
-    work.drop("members", "blocks")
-    members = work.table("met", alive.join(alive.groupBy("bucket").agg(*centre), "bucket"))
-    work.drop("alive")
+    ids = members.select("id").distinct()
+    known = work.table("facts", facts.join(ids, "id", "left_semi"))
 
     def candidates(pairs: DataFrame) -> DataFrame:
         return pairs.join(_sides(known, "_a"), "id_a").join(_sides(known, "_b"), "id_b").where(likely("_a", "_b")).select("id_a", "id_b")
 
     star = members.where("id <> centre").select(F.col("centre").alias("id_a"), F.col("id").alias("id_b")).distinct()
-    star = work.table("star", candidates(star))
-
-    heavy = work.table("payload", payload(members.select("id").distinct()))
+    star = work.table("star", candidates(star).groupBy("id_b").agg(F.min("id_a").alias("id_a")).select("id_a", "id_b"))
+    heavy = work.table("payload", payload(ids))
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(_sides(heavy, "_a"), "id_a").join(_sides(heavy, "_b"), "id_b")
         return both.where(linked("_a", "_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
     links = work.table("links1", verified(star))
-    work.drop("star")
     found = connected_components(work, links, "c1")
 
     # buckets that still hold more than one component
-    labelled = members.join(found, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    labelled = work.table("labelled", labelled.select("bucket", "size", "id", "label"))
+    labelled = members.join(found, "id", "left").select("bucket", "size", "id", F.coalesce("label", "id").alias("label"))
+    labelled = work.table("labelled", labelled)
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    mixed = work.table("mixed", mixed)
     rest = work.table("rest", labelled.join(mixed, "bucket").join(known, "id"))
-    work.drop("met", "labelled", "mixed")
+    work.drop("members", "labelled")
 
-    across = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & likely("_a", "_b")
     small = rest.where(F.col("size") <= SMALL_BUCKET).drop("size")
+    across = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & likely("_a", "_b")
     pairs = _sides(small, "_a", ("bucket",)).join(_sides(small, "_b", ("bucket",)), "bucket").where(across)
-    pairs = work.table("pairs", pairs.select("id_a", "id_b").distinct())
-    links2 = verified(pairs)
-
-    large = work.table("large", in_blocks(rest.where(F.col("size") > SMALL_BUCKET)))
-    # members with a likely partner of another component; only they bring their payload
-    some = with_partner(large, lambda x, y: (F.col(f"id{x}") != F.col(f"id{y}")) & (F.col(f"label{x}") != F.col(f"label{y}")) & likely(x, y))
-    some = work.table("some", some.join(heavy, "id"))
-    keys = ["bucket", "lo", "hi"]
-    a, b = (_sides(some, s, tuple(keys)) for s in ("_a", "_b"))
-    # each pair once: of two blocks, either from different blocks or both in the only one
-    once = (F.col("own_a") != F.col("own_b")) | (F.col("lo") == F.col("hi"))
-    links3 = a.join(b, keys).where(once & across & linked("_a", "_b"))
-    more = work.table("links2", links2.union(links3.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
-    work.drop("rest", "payload", "pairs", "facts", "large", "some")
+    pairs = work.table("pairs", pairs.select("id_a", "id_b").distinct().join(star, ["id_a", "id_b"], "left_anti"))
+    more = verified(pairs)
+
+    large = rest.where(F.col("size") > SMALL_BUCKET).drop("size")
+    if not large.isEmpty():
+        few, many = (work.table(f"large{k}", x) for k, x in enumerate(in_blocks(large)))
+        meet = partners(few, many, likely)
+        # members with a likely partner; only they bring their payload
+        some_few = _sides(few, "_a").join(_sides(many, "_b"), meet, "left_semi").withColumnRenamed("id_a", "id").join(heavy.select("id", *[F.col(c).alias(c + "_a") for c in heavy.columns if c != "id"]), "id").withColumnRenamed("id", "id_a")
+        some_many = _sides(many, "_b").join(_sides(few, "_a"), meet, "left_semi").withColumnRenamed("id_b", "id").join(heavy.select("id", *[F.col(c).alias(c + "_b") for c in heavy.columns if c != "id"]), "id").withColumnRenamed("id", "id_b")
+        some_few, some_many = work.table("few", some_few), work.table("many", some_many)
+        more = more.union(some_few.join(some_many, meet & linked("_a", "_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    more = work.table("links2", more)
+    work.drop("rest", "payload", "pairs", "facts", "star", "large0", "large1", "few", "many")
     if more.isEmpty():
         return found
     return connected_components(work, links.union(more), "c2")
