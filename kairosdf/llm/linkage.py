@@ -1,12 +1,12 @@
 """Links from buckets, and connected components, without all pairs of a bucket.
 
 Every member is first compared with one centre, the least member of one of its
-buckets that it is likely to be linked with.  The components of the links found
-so far then say which buckets still hold members of more than one component;
-only there, and only across components, are members compared with each other:
-small buckets by candidate pairs, and in large ones the members outside the
-largest component with all, in blocks whose join condition is the exact test,
-so that only links leave the join.  A bucket of one large group costs rows in
+buckets that it is likely to be linked with, then, in buckets that still hold
+members of more than one component, with the greatest such member.  Where a
+bucket then still holds more than one, members are compared across components:
+those of small buckets by candidate pairs, and in large ones the members outside
+the largest component with all, in blocks of bounded size, which give out
+nothing but links.  A bucket of one large group costs rows in
 proportion to its size.  Nothing is capped: every pair of a bucket ends in one
 component or is tested.
 """
@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Work
@@ -83,13 +83,91 @@ def in_blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return few.drop("outside", "all"), many.drop("outside", "all")
 
 
-def partners(few: DataFrame, many: DataFrame, fits: Callable[[str, str], Column]) -> Column:
-    """The condition under which a row of few and one of many, with suffixes _a and _b, are a pair to test."""
-    same = F.lit(True)
-    for c in ("bucket", "ra", "rb"):
-        same &= F.col(f"{c}_a") == F.col(f"{c}_b")
-    once = (F.col("label_b") == F.col("main_b")) | (F.col("id_a") < F.col("id_b"))
-    return same & (F.col("label_a") != F.col("label_b")) & once & fits("_a", "_b")
+Columns = dict[str, pa.Array]
+Test = Callable[[Columns, Columns], np.ndarray]
+
+
+def _passing(pairs: DataFrame, test: Test) -> DataFrame:
+    """(id_a, id_b) of the pairs whose columns, with suffixes _a and _b, pass a test row by row."""
+    names = [c[:-2] for c in pairs.columns if c.endswith("_a")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ({c: batch.column(c + suffix) for c in names} for suffix in ("_a", "_b"))
+            keep = pa.array(test(x, y))
+            yield pa.RecordBatch.from_arrays([x["id"].filter(keep), y["id"].filter(keep)], names=["id_a", "id_b"])
+
+    return pairs.mapInArrow(run, "id_a long, id_b long")
+
+
+def _block_pairs(few: pa.Table, many: pa.Table, likely: Test) -> tuple[np.ndarray, np.ndarray]:
+    """Places in few and many of the pairs to test: of two components, likely, and each pair once."""
+    a, b = ({c: t[c].combine_chunks() for c in t.column_names} for t in (few, many))
+    label_a, label_b, id_a, id_b = (x.to_numpy() for x in (a["label"], b["label"], a["id"], b["id"]))
+    once = (label_b == b["main"].to_numpy())[None, :] | (id_a[:, None] < id_b[None, :])
+    i, j = np.nonzero(once & (label_a[:, None] != label_b[None, :]))
+    keep = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 16):
+        x, y = (pa.array(k[at : at + (1 << 16)]) for k in (i, j))
+        keep[at : at + (1 << 16)] = likely({c: v.take(x) for c, v in a.items() if c not in _OWN}, {c: v.take(y) for c, v in b.items() if c not in _OWN})
+    return i[keep], j[keep]
+
+
+_OWN = ("bucket", "ra", "rb", "main", "label")
+
+
+def _with_partner(likely: Test):
+    """A cogrouped function: (id) of the members of a block that have a pair to test."""
+
+    def run(few: pa.Table, many: pa.Table) -> pa.Table:
+        i, j = _block_pairs(few, many, likely) if few.num_rows and many.num_rows else (np.empty(0, np.int64),) * 2
+        ids = np.unique(np.concatenate([t["id"].to_numpy()[np.unique(k)] for t, k in ((few, i), (many, j))])) if len(i) else np.empty(0, np.int64)
+        return pa.table({"id": pa.array(ids, pa.int64())})
+
+    return run
+
+
+def _block_links(likely: Test, match: Test, facts: list[str], payload: list[str]):
+    """A cogrouped function: (a, b), links between components of a block, enough to connect all that are connected.
+
+    Pairs of one couple of components are tested in growing portions until one links.
+    """
+
+    def run(few: pa.Table, many: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 2]
+        if few.num_rows and many.num_rows:
+            keys = [*_OWN, "id", *facts]
+            i, j = _block_pairs(few.select([c for c in keys if c in few.column_names]), many.select([c for c in keys if c in many.column_names]), likely)
+            a, b = ({c: t[c].combine_chunks() for c in ("id", "label", *payload)} for t in (few, many))
+            names, flat = np.unique(np.concatenate((a["label"].to_numpy()[i], b["label"].to_numpy()[j])), return_inverse=True)
+            parent, portion = np.arange(len(names)), 1
+            u, v = flat[: len(i)], flat[len(i) :]
+            while len(i):
+                while (parent[parent] != parent).any():
+                    parent = parent[parent]
+                u, v = parent[u], parent[v]
+                apart = u != v
+                i, j, u, v = i[apart], j[apart], u[apart], v[apart]
+                lo, hi = np.minimum(u, v), np.maximum(u, v)
+                order = np.lexsort((hi, lo))
+                i, j, u, v, couple = i[order], j[order], u[order], v[order], (lo * len(names) + hi)[order]
+                first = np.searchsorted(couple, couple)
+                now = np.arange(len(i)) - first < portion
+                x, y = pa.array(i[now]), pa.array(j[now])
+                linked = match({c: w.take(x) for c, w in a.items()}, {c: w.take(y) for c, w in b.items()}) if len(x) else np.zeros(0, bool)
+                out.append((a["id"].to_numpy()[i[now][linked]], b["id"].to_numpy()[j[now][linked]]))
+                for p, q in zip(u[now][linked], v[now][linked], strict=True):
+                    while parent[p] != p:
+                        p = parent[p]
+                    while parent[q] != q:
+                        q = parent[q]
+                    parent[max(p, q)] = min(p, q)
+                i, j, u, v = i[~now], j[~now], u[~now], v[~now]
+                portion *= 4
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,66 +208,74 @@ def in_company(keyed: DataFrame) -> DataFrame:
     return met.union(passing[0]) if passing else met
 
 
-def linked_components(
-    work: Work,
-    keyed: DataFrame,
-    facts: DataFrame,
-    payload: Callable[[DataFrame], DataFrame],
-    likely: Callable[[str, str], Column],
-    linked: Callable[[str, str], Column],
-) -> DataFrame:
+def linked_components(work: Work, keyed: DataFrame, facts: DataFrame, payload: Callable[[DataFrame], DataFrame], likely: Test, match: Test) -> DataFrame:
     """(id, label) of the ids that have a link.
 
     keyed: (id, buckets), an array of longs.  facts: (id, ...), cheap columns of every id;
-    likely(x, y) is a necessary condition on them with suffixes x and y, and
-    linked(x, y) the exact one on the columns of payload(ids), a table of
-    (id, ...).
+    likely(x, y) is a necessary condition on them and match(x, y) the exact one
+    on the columns of payload(ids), a table of (id, ...); both take columns of
+    the left and the right of each pair and are true or false for each.
     """
     met = work.table("company", in_company(keyed))
-    sizes = work.table("buckets", met.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("size")))
-    members = work.table("members", met.join(sizes, "bucket").select("bucket", "size", "centre", "id"))
+    sizes = work.table("buckets", met.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")))
+    members = work.table("members", met.join(sizes, "bucket").select("bucket", "size", "lo", "hi", "id"))
     work.drop("buckets", "company")
     ids = members.select("id").distinct()
     known = work.table("facts", facts.join(ids, "id", "left_semi"))
 
     def candidates(pairs: DataFrame) -> DataFrame:
-        return pairs.join(_sides(known, "_a"), "id_a").join(_sides(known, "_b"), "id_b").where(likely("_a", "_b")).select("id_a", "id_b")
+        """The likely ones of pairs (id_a, id_b)."""
+        return _passing(pairs.join(_sides(known, "_a"), "id_a").join(_sides(known, "_b"), "id_b"), likely)
+
+    def one_each(pairs: DataFrame) -> DataFrame:
+        return candidates(pairs.distinct()).groupBy("id_b").agg(F.min("id_a").alias("id_a")).select("id_a", "id_b")
 
-    star = members.where("id <> centre").select(F.col("centre").alias("id_a"), F.col("id").alias("id_b")).distinct()
-    star = work.table("star", candidates(star).groupBy("id_b").agg(F.min("id_a").alias("id_a")).select("id_a", "id_b"))
+    star = work.table("star", one_each(members.where("id <> lo").select(F.col("lo").alias("id_a"), F.col("id").alias("id_b"))))
     heavy = work.table("payload", payload(ids))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(_sides(heavy, "_a"), "id_a").join(_sides(heavy, "_b"), "id_b")
-        return both.where(linked("_a", "_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        return _passing(pairs.join(_sides(heavy, "_a"), "id_a").join(_sides(heavy, "_b"), "id_b"), match).toDF("a", "b")
+
+    def mixed(found: DataFrame, name: str) -> DataFrame:
+        """Members, with labels, of the buckets that hold more than one component."""
+        labelled = work.table(f"{name}-all", members.join(found, "id", "left").withColumn("label", F.coalesce("label", "id")))
+        some = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+        out = work.table(name, labelled.join(some, "bucket"))
+        work.drop(f"{name}-all")
+        return out
 
     links = work.table("links1", verified(star))
     found = connected_components(work, links, "c1")
+    rest = mixed(found, "mixed1")
+    tops = rest.where("id = hi").select("bucket", F.col("label").alias("top"))
+    star2 = rest.join(tops, "bucket").where("id <> hi and label <> top").select(F.col("hi").alias("id_a"), F.col("id").alias("id_b"))
+    star2 = work.table("star2", one_each(star2))
+    links2 = work.table("links2", verified(star2))
+    work.drop("mixed1")
+    links = links.union(links2)
+    if not links2.isEmpty():
+        found = connected_components(work, links, "c2")
+    rest = mixed(found, "mixed2")
+    work.drop("members")
 
-    # buckets that still hold more than one component
-    labelled = members.join(found, "id", "left").select("bucket", "size", "id", F.coalesce("label", "id").alias("label"))
-    labelled = work.table("labelled", labelled)
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    rest = work.table("rest", labelled.join(mixed, "bucket").join(known, "id"))
-    work.drop("members", "labelled")
-
-    small = rest.where(F.col("size") <= SMALL_BUCKET).drop("size")
-    across = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & likely("_a", "_b")
-    pairs = _sides(small, "_a", ("bucket",)).join(_sides(small, "_b", ("bucket",)), "bucket").where(across)
-    pairs = work.table("pairs", pairs.select("id_a", "id_b").distinct().join(star, ["id_a", "id_b"], "left_anti"))
-    more = verified(pairs)
+    small = rest.where(F.col("size") <= SMALL_BUCKET).select("bucket", "id", "label")
+    across = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b"))
+    pairs = _sides(small, "_a", ("bucket",)).join(_sides(small, "_b", ("bucket",)), "bucket").where(across).select("id_a", "id_b").distinct()
+    tried = star.union(star2).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    more = verified(work.table("pairs", candidates(pairs.join(tried, ["id_a", "id_b"], "left_anti"))))
 
-    large = rest.where(F.col("size") > SMALL_BUCKET).drop("size")
+    large = rest.where(F.col("size") > SMALL_BUCKET).select("bucket", "id", "label").join(known, "id")
     if not large.isEmpty():
+        keys, own = ["bucket", "ra", "rb"], [c for c in known.columns if c != "id"]
         few, many = (work.table(f"large{k}", x) for k, x in enumerate(in_blocks(large)))
-        meet = partners(few, many, likely)
-        # members with a likely partner; only they bring their payload
-        some_few = _sides(few, "_a").join(_sides(many, "_b"), meet, "left_semi").withColumnRenamed("id_a", "id").join(heavy.select("id", *[F.col(c).alias(c + "_a") for c in heavy.columns if c != "id"]), "id").withColumnRenamed("id", "id_a")
-        some_many = _sides(many, "_b").join(_sides(few, "_a"), meet, "left_semi").withColumnRenamed("id_b", "id").join(heavy.select("id", *[F.col(c).alias(c + "_b") for c in heavy.columns if c != "id"]), "id").withColumnRenamed("id", "id_b")
-        some_few, some_many = work.table("few", some_few), work.table("many", some_many)
-        more = more.union(some_few.join(some_many, meet & linked("_a", "_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
-    more = work.table("links2", more)
-    work.drop("rest", "payload", "pairs", "facts", "star", "large0", "large1", "few", "many")
+        alive = few.groupBy(*keys).cogroup(many.groupBy(*keys)).applyInArrow(_with_partner(likely), "id long").distinct()
+        # only members with a pair to test bring their payload
+        brought = work.table("brought", heavy.join(alive, "id", "left_semi"))
+        few, many = (x.join(brought, "id") for x in (few, many))
+        body = [c for c in heavy.columns if c != "id"]
+        more = more.union(few.groupBy(*keys).cogroup(many.groupBy(*keys)).applyInArrow(_block_links(likely, match, own, body), "a long, b long"))
+    more = work.table("links3", more)
+    work.drop("mixed2", "payload", "pairs", "facts", "star", "star2", "large0", "large1", "brought")
     if more.isEmpty():
         return found
-    return connected_components(work, links.union(more), "c2")
+    return connected_components(work, links.union(more), "c3")

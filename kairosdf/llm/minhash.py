@@ -89,13 +89,13 @@ def _words(bands: int, rows: int) -> tuple[list[str], list[str]]:
     return [f"p{k}" for k in range(PARITIES // 64)], [f"s{k}" for k in range(2 * -(-bands * rows // 64))]
 
 
-def sketch_distance(percent: int, coordinates: int) -> int:
-    """Sketch bits that may differ at that similarity, with 5.5 standard deviations to spare.
+def sketch_distance(percent: int, coordinates: int, spare: float) -> int:
+    """Sketch bits that may differ at that similarity, with so many standard deviations to spare.
 
     Coordinates differ with probability q = 1 - similarity, then each bit with 1/2.
     """
     q = 1 - percent / 100
-    return int(coordinates * q + 5.5 * (coordinates * (1.5 * q - q * q)) ** 0.5) + 1
+    return int(coordinates * q + spare * (coordinates * (1.5 * q - q * q)) ** 0.5) + 1
 
 
 def _signatures(shingle: int, bands: int, rows: int):
@@ -118,6 +118,15 @@ def _signatures(shingle: int, bands: int, rows: int):
     return run
 
 
+def differing_bits(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Of each pair of 64-bit words, how many bits differ."""
+    return np.bitwise_count(x.to_numpy().view(np.uint64) ^ y.to_numpy().view(np.uint64)).astype(np.int64)
+
+
+def _flat_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return column.flatten().to_numpy(), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
+
+
 def _sets(shingle: int):
     schema = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))])
 
@@ -131,7 +140,7 @@ def _sets(shingle: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS, spare: float | None = 5.5) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * intersection >= percent * union of their
@@ -140,7 +149,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wordless texts have no shingles and no links.  Rows without an id are
     returned unlinked, with a null component_id and kept true.  Rows that
     repeat an id are one document: each is returned, links of any hold for
-    all.  Other columns of the input, whatever their names, are not read; an
+    all.  spare: standard deviations by which a candidate's sketch may be off before it
+    is dropped untested; None tests every candidate that the exact parity bound leaves.  Other columns of the input, whatever their names, are not read; an
     empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -159,17 +169,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = possible(base, [F.col("doc_id")], ids).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
         return wanted.mapInArrow(_sets(shingle), "id long, set array<long>")
 
-    most = sketch_distance(percent, bands * rows)
+    most = None if spare is None else sketch_distance(percent, bands * rows, spare)
 
-    def likely(x: str, y: str):
-        lo, hi = F.least(f"n{x}", f"n{y}"), F.greatest(f"n{x}", f"n{y}")
-        differ = lambda ws: sum(F.bit_count(F.col(w + x).bitwiseXOR(F.col(w + y))) for w in ws)
+    def likely(x, y) -> np.ndarray:
+        n, m = x["n"].to_numpy(), y["n"].to_numpy()
+        lo, hi = np.minimum(n, m), np.maximum(n, m)
+        differ = lambda ws: sum(differing_bits(x[w], y[w]) for w in ws)
         apart = (100 + percent) * differ(parities) <= (100 - percent) * (lo + hi)
-        return (100 * lo >= percent * hi) & apart & (differ(sketch) <= most)
-
-    def linked(x: str, y: str):
-        both = F.size(F.array_intersect(f"set{x}", f"set{y}"))
-        return 100 * both >= percent * (F.size(f"set{x}") + F.size(f"set{y}") - both)
+        return (100 * lo >= percent * hi) & apart & ((most is None) | (differ(sketch) <= (most or 0)))
+
+    def linked(x, y) -> np.ndarray:
+        """Exact, on the full sets."""
+        out = np.zeros(len(x["set"]), bool)
+        (a, at), (b, bt) = _flat_sets(x["set"]), _flat_sets(y["set"])
+        for k in range(len(out)):
+            u, v = a[at[k] : at[k + 1]], b[bt[k] : bt[k + 1]]
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            out[k] = 100 * both >= percent * (len(u) + len(v) - both)
+        return out
 
     found = linked_components(work, keyed, classes.select("id", "n", *words), payload, likely, linked)
     found = _with_repeated_ids(work, named, classes, found)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,10 +19,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (tests), a folder of this process's own."""
+    """spark.checkpoint.dir; where that is unset and the master is local (tests), a folder of this process's own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="kairosdf-")
         spark.sparkContext.setCheckpointDir(_own["dir"])
@@ -66,16 +68,32 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+_scopes: list[list[Work]] = []
+
+
+@contextmanager
+def written_at_once():
+    """Within it, results are written out by the caller: the tables that they read go when it ends."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for work in _scopes.pop():
+            work.drop(*list(work.paths))
+
+
 class Work:
     """Tables written on the way to one result.
 
     drop() removes those that nothing reads any more; what the result itself
-    reads goes when the process ends.
+    reads goes with the scope of written_at_once() or when the process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, {}
         bounded_batches(spark)
+        if _scopes:
+            _scopes[-1].append(self)
         atexit.register(self._at_end)
 
     def table(self, what: str, df: DataFrame) -> DataFrame:
