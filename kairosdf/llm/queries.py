@@ -176,10 +176,10 @@ def _day_sql(key: str, salt: str) -> str:
 
 
 ORACLE_SQL["op2_temporal_url_list"] = rf"""
-with pg as (select page_id, url, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') as host,
+with pg as (select row_number() over () as rid, page_id, url, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') as host,
     case when regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' then '/' else regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) end as path,
     {_day_sql("page_id::varchar", "f")} as t from pages),
-suffix as (select page_id, t, host, path, array_to_string(labels[k:], '.') as s from (
+suffix as (select rid, t, host, path, array_to_string(labels[k:], '.') as s from (
     select *, unnest(range(1, len(labels) + 1)) as k from (select *, string_split(host, '.') as labels from pg where host is not null))),
 patterns as (
     select distinct s as pattern from suffix where s like '%.%' and substr(md5('h' || s), 1, 1) < '8'
@@ -192,11 +192,11 @@ raw as (
 entries as (select case when ends_with(pattern, '/') and instr(pattern, '/') = length(pattern) then rtrim(pattern, '/') else pattern end as pattern, since, max(listed) as listed from raw group by 1, 2),
 turns as (select * from (select *, lag(listed) over (partition by pattern order by since) as was from entries) where was is null or was <> listed),
 spans as (select * from (select *, lead(since) over (partition by pattern order by since) as until from turns) where listed),
-prefixes as (select page_id, t, s, unnest(list_distinct(list_concat(ends, list_transform(ends, lambda e: e || '/')))) as p from (
+prefixes as (select rid, t, s, unnest(list_distinct(list_concat(ends, list_transform(ends, lambda e: e || '/')))) as p from (
     select *, list_transform(range(1, len(parts) + 1), lambda k: array_to_string(parts[1:k], '/')) as ends from (
         select *, string_split(path, '/') as parts from suffix))),
-probes as (select page_id, t, s as pattern from suffix union select page_id, t, s || p from prefixes),
-hits as (select page_id, count(distinct pattern) as n, min(struct_pack(p := pattern, f := since)) as first
-    from probes join spans using (pattern) where t >= since and (until is null or t < until) group by page_id)
-select page_id, host, coalesce(n, 0) > 0 as blocked, coalesce(n, 0)::bigint as n_matches, first.p as pattern, first.f::varchar as listed_at from pg left join hits using (page_id)
+probes as (select rid, t, s as pattern from suffix union select rid, t, s || p from prefixes),
+hits as (select rid, count(distinct pattern) as n, min(struct_pack(p := pattern, f := since)) as first
+    from probes join spans using (pattern) where t >= since and (until is null or t < until) group by rid)
+select page_id, host, coalesce(n, 0) > 0 as blocked, coalesce(n, 0)::bigint as n_matches, first.p as pattern, first.f::varchar as listed_at from pg left join hits using (rid)
 """

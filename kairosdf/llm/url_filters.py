@@ -4,8 +4,8 @@ A list is a table of dated entries: on that day a pattern was put on the list
 or taken off.  Each pattern's entries become validity intervals, half open,
 neighbouring ones of the same state joined.  A pattern is a host, meaning it
 and all its subdomains, or a host with a path, meaning every URL whose path
-begins with it.  A capture probes the list with all the suffixes of its host
-and, where the list has paths, all the prefixes of its path, so the join is on
+begins with it, up to a slash or the end.  A capture probes the list with all the suffixes of its host
+and the prefixes of its path with as many slashes as some listed path has, so the join is on
 equal keys; the interval that holds the fetch time is then picked.
 
 Intervals are written as a table before the join, both sides of which are
@@ -40,11 +40,15 @@ def suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels))))
 
 
-def path_prefixes(path: Column) -> Column:
-    """Every prefix of a path that ends before or at a slash, and the whole."""
-    parts = F.split(path, "/")
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    return F.array_distinct(F.concat(ends, F.transform(ends, lambda p: F.concat(p, F.lit("/")))))
+def path_prefixes(path: Column, slashes: list[int]) -> Column:
+    """The prefixes of a path that end before a slash or where it does, without and with a slash behind them,
+    of those with so many slashes; a path of any depth is cut at the deepest."""
+    parts = F.slice(F.split(path, "/", max(slashes, default=0) + 2), 1, max(slashes, default=0) + 1)
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct((k - 1).alias("n"), F.array_join(F.slice(parts, 1, k), "/").alias("p")))
+    wanted = lambda n: n.isin(*slashes) if slashes else F.lit(False)
+    bare = F.transform(F.filter(ends, lambda x: wanted(x["n"])), lambda x: x["p"])
+    closed = F.transform(F.filter(ends, lambda x: wanted(x["n"] + 1)), lambda x: F.concat(x["p"], F.lit("/")))
+    return F.array_distinct(F.concat(bare, closed))
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
@@ -70,26 +74,27 @@ def normal_pattern(pattern: Column) -> Column:
 
 def judge_captures(captures: DataFrame, entries: DataFrame, *, id_col: str, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """One row per capture: its id, host, blocked, n_matches (patterns active at fetch time),
-    and the first of them and since when it was listed.
+    and the first of them, by pattern, and since when it was listed.
 
-    captures: (id, url, time), one row an id; entries: (pattern, at, listed).
-    Captures without a host or time match nothing, nor do rows without an id,
-    which are returned all the same.  Rows that repeat an id give one row,
-    blocked if any is.  Only the named columns are read; an empty list blocks
-    nothing.
+    captures: (id, url, time); entries: (pattern, at, listed).  A capture is a
+    row: rows that repeat an id, or have none, are judged and returned each.
+    Captures without a host or time match nothing.  URLs of any length are
+    read whole.  Only the named columns are read; an empty list blocks
+    nothing, and no captures give an empty result.
     """
     work = Work(captures.sparkSession, "urls")
     listed = entries.select(normal_pattern(F.col("pattern")).alias("pattern"), "at", "listed")
     intervals = work.table("intervals", validity_intervals(listed))
-    has_paths = not intervals.where(F.col("pattern").contains("/")).isEmpty()
-    base = captures.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"), F.col(time_col).alias("time"))
+    depth = F.size(F.split("pattern", "/")) - 1
+    slashes = sorted(r[0] for r in intervals.where("pattern like '%/%'").select(depth).distinct().collect())  # one number for each depth
+    base = captures.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"), F.col(time_col).alias("time"))
+    base = work.table("captures", base)  # so that a row keeps its number
     keys = suffixes(F.col("host"))
-    if has_paths:
-        keys = F.array_distinct(F.flatten(F.array(keys, F.flatten(F.transform(keys, lambda h: F.transform(path_prefixes(F.col("path")), lambda p: F.concat(h, p)))))))
-    probes = base.where("id is not null and host is not null and time is not null").select("id", "time", F.explode(keys).alias("pattern"))
+    if slashes:
+        keys = F.array_distinct(F.concat(keys, F.flatten(F.transform(keys, lambda h: F.transform(path_prefixes(F.col("path"), slashes), lambda p: F.concat(h, p))))))
+    probes = base.where("host is not null and time is not null").select("row", "time", F.explode(keys).alias("pattern"))
     hit = (F.col("time") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("time") < F.col("valid_to")))
-    hits = probes.join(intervals, "pattern").where(hit).groupBy("id").agg(F.count_distinct("pattern").alias("n_matches"), F.min(F.struct("pattern", "valid_from")).alias("first"))
-    ids = base.groupBy("id").agg(F.min("host").alias("host"))
-    out = ids.join(hits, "id", "left")
+    hits = probes.join(intervals, "pattern").where(hit).groupBy("row").agg(F.count("*").alias("n_matches"), F.min(F.struct("pattern", "valid_from")).alias("first"))
+    out = base.join(hits, "row", "left")
     n = F.coalesce("n_matches", F.lit(0).cast("long"))
     return out.select(F.col("id").alias(id_col), "host", (n > 0).alias("blocked"), n.alias("n_matches"), F.col("first.pattern").alias("pattern"), F.col("first.valid_from").alias("listed_at"))
