@@ -79,6 +79,9 @@ class _Inflated(io.RawIOBase):
             if not data or not self.gzip:
                 return data
             if self.z.eof:
+                data = data.lstrip(b"\0")  # padding between members
+                if not data:
+                    continue
                 self.z = zlib.decompressobj(31)
             out = self.z.decompress(data)
             self.ahead = self.z.unused_data
@@ -123,12 +126,32 @@ def _headers(stream: _Inflated) -> dict[str, str] | None:
     if not line.startswith(b"WARC/"):
         raise ValueError(f"not a WARC record: {line[:40]!r}")
     out: dict[str, str] = {}
-    while (line := stream.line()).strip():
+    while (line := stream.line()).strip() or not line:
+        if not line:
+            raise ValueError("the archive ends within a record's headers")
         k, _, v = line.decode("utf-8", "replace").partition(":")
         out[k.strip().lower()] = v.strip()
     return out
 
 
+def _length(headers: dict[str, str], path: str, offset: int) -> int:
+    text = headers.get("content-length", "")
+    if not (text.isascii() and text.isdigit()):
+        raise ValueError(f"{path}: the record at {offset} has no valid Content-Length: {text!r}")
+    return int(text)
+
+
+def _http_head(stream: _Inflated, length: int) -> bytes:
+    """The head of an HTTP message of length bytes, all of which are passed: block by block up to the empty line."""
+    head = b""
+    while length and _CRLF * 2 not in head:
+        n = min(length, 8192)
+        head += stream.take(n, keep=True)
+        length -= n
+    stream.take(length, keep=False)
+    return head
+
+
 def _http(block: bytes) -> tuple[int | None, bytes]:
     """Content-Length of an HTTP message's header, and its body."""
     head, _, body = block.partition(_CRLF * 2)
@@ -219,23 +242,21 @@ class WarcReader(DataSourceReader):
         wants = self.options.get("payload", "true").lower() == "true"
         names = [n for n in self.names if n != "payload"]
         system, where = open_fs(path)
-        with system.open_input_stream(where) as raw:
+        with system.open_input_stream(where, compression=None) as raw:
             stream = _Inflated(raw)
             while True:
                 offset = stream.at
                 headers = _headers(stream)
                 if headers is None:
                     return
-                length = int(headers.get("content-length", 0))
+                length = _length(headers, path, offset)
                 if not all(_passes(t, headers) for t in self.tests):
                     stream.take(length, keep=False)
                     continue
                 is_http = headers.get("content-type", "").startswith("application/http")
                 http_length, payload = None, None
                 if is_http and not wants:
-                    head = stream.take(min(length, 8192), keep=True)
-                    stream.take(length - len(head), keep=False)
-                    http_length = _http(head)[0]
+                    http_length = _http(_http_head(stream, length))[0]
                 elif wants or is_http:
                     block = stream.take(length, keep=True)
                     http_length, payload = _http(block) if is_http else (None, block)
@@ -309,7 +330,8 @@ class WarcWriter(DataSourceArrowWriter):
 
 class WarcDataSource(DataSource):
     """Format "warc".  Read options: path, partitionBytes, payload (false: never decode payloads).
-    Write options: path, fileBytes, level."""
+    Write options: path, fileBytes, level.  offset counts the bytes of the inflated archive.  An archive that
+    ends within a record, or a record without a valid length, raises."""
 
     @classmethod
     def name(cls) -> str:
@@ -374,21 +396,24 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write pages, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Lengths and digests of responses are those of the payloads that were read;
-    a revisit's are those its headers tell.
+    a revisit's are those its headers tell, which hold no payload.  A null html
+    is an empty payload; rows without an id come back with a null one, repeated
+    rows each; an empty table gives an empty result.  Only the named columns are read.
     """
     spark = pages.sparkSession
     work = Work(spark, "warc-round")
     path = qualify(spark, work.folder("archives"))
     archive_pages(pages, path)
+    names = ["record_type", "record_id", "payload_bytes", "payload_digest", "refers_to"]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body = [x or b"" for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, body), pa.int64()), pa.array(map(base32_sha1, body), pa.string())], names=["record_type", "record_id", "payload_bytes", "payload_digest"])
-
-    records = read_archives(spark, path).where("record_type = 'response'").select("record_type", "record_id", "payload")
-    responses = records.mapInArrow(measured, "record_type string, record_id string, payload_bytes long, payload_digest string").withColumn("refers_to", F.lit(None).cast("string"))
-    revisits = read_archives(spark, path, payload=False).where("record_type = 'revisit'")
-    revisits = revisits.select("record_type", "record_id", F.col("http_length").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "refers_to")
-    both = responses.unionByName(revisits)
+            kind, own, body, told, digest, refers = (batch.column(k) for k in range(6))
+            rows = zip(kind.to_pylist(), body, told.to_pylist(), digest.to_pylist(), strict=True)
+            facts = [(t, d.removeprefix("sha1:")) if k == "revisit" else (len(b := x.as_py() or b""), base32_sha1(b)) for k, x, t, d in rows]
+            size, sha1 = zip(*facts, strict=True) if facts else ((), ())
+            yield pa.RecordBatch.from_arrays([kind, own, pa.array(size, pa.int64()), pa.array(sha1, pa.string()), refers], names=names)
+
+    records = read_archives(spark, path).where("record_type in ('response', 'revisit')").select("record_type", "record_id", "payload", "http_length", "payload_digest", "refers_to")
+    both = records.mapInArrow(measured, "record_type string, record_id string, payload_bytes long, payload_digest string, refers_to string")
     return both.select(_page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", _page_of("refers_to").alias("refers_to"))
