@@ -11,6 +11,8 @@ Each leaf then takes whole epochs of its documents while they fit, and of the
 next epoch the longest prefix in that epoch's seeded order that fits.  The
 order is by a hash whose upper bits cut a leaf into ranges; sums by range find
 the one where the prefix ends, so no leaf, however large, is sorted as a whole.
+
+Texts are split into words once; (id, leaf, words) is written and decides.
 """
 
 from __future__ import annotations
@@ -87,18 +89,19 @@ def select_mix(
 
     The budget is total_tokens, or share = (a, b): a/b of the input's tokens.
     domain is a Column over doc_id, lang and source.  With carry, all columns
-    of the input come along in the struct `row`.  Null domains, languages and
+    of the input come along in the struct `row` instead of n_tokens.  Null domains, languages and
     sources are groups of their own, spelt "unknown".  Texts without words,
     null ones too, have no tokens and are never taken.  Rows without an id
     sort as if it were empty; repeated rows are counted each and taken
-    together or not at all.  An empty table or budget takes nothing.
+    together or not at all.  Places that tie are in the order of ids.  Texts of any length are
+    counted whole.  An empty table or budget takes nothing.
     """
     work = Work(docs.sparkSession, "mix")
     group = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
     at = lambda c: F.col(f"`{c}`")
-    whole = [F.struct(*[at(c) for c in docs.columns]).alias("row")] if carry else []
-    base = docs.select(at(id_col).cast("long").alias("doc_id"), group(at(lang_col)).alias("lang"), group(at(source_col)).alias("source"), n_words(at(text_col).cast("string")).alias("n_tokens"), *whole)
-    base = base.withColumn("domain", group(domain)).where("n_tokens > 0")
+    text = at(text_col).cast("string")
+    named = [at(id_col).cast("long").alias("doc_id"), group(at(lang_col)).alias("lang"), group(at(source_col)).alias("source")]
+    base = work.table("sizes", docs.select(*named, n_words(text).alias("n_tokens")).withColumn("domain", group(domain)).where("n_tokens > 0"))
 
     def place(epoch: Column) -> Column:
         return seeded_hash(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), epoch)
@@ -122,18 +125,33 @@ def select_mix(
     # a hot leaf's documents meet the plan under SALTS keys
     plan = work.table("plan", plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     work.drop("sums")
-    met = base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(plan, [*LEVELS, "salt"]).drop("salt")
-    met = met.withColumn("range", range_of(F.col("full")))
-    columns = ["doc_id", *LEVELS, "n_tokens", *(["row"] if carry else [])]
-    clear = met.where("range <> edge").select(*columns, (F.col("full") + (F.col("range") < F.col("edge")).cast("int")).alias("epochs"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("salt", salt).join(plan, [*LEVELS, "salt"]).drop("salt").withColumn("range", range_of(F.col("full")))
+
     # of the one range in which the prefix ends, the running sum decides; peers, which repeat a row, go together
     order = Window.partitionBy(*LEVELS).orderBy(place(F.col("full")), "doc_id")
     upto = (F.col("below") + F.sum("n_tokens").over(order)) <= F.col("rest")
-    ending = met.where("range = edge").select(*columns, (F.col("full") + upto.cast("int")).alias("epochs"))
+    decided = met(base).where("range = edge").select("doc_id", *LEVELS, "n_tokens", (F.col("full") + upto.cast("int")).alias("epochs"))
+    epochs = (F.col("full") + (F.col("range") < F.col("edge")).cast("int")).alias("epochs")
+    if not carry:
+        clear = met(base).where("range <> edge").select("doc_id", *LEVELS, "n_tokens", epochs)
+        return clear.union(decided).where("epochs > 0")
+    # whole rows meet the plan, and the few of ending ranges their decisions: no text is sorted or counted again
+    whole = docs.select(*named, F.struct(*[at(c) for c in docs.columns]).alias("row"), text.rlike("[^\\x20\\x09-\\x0D]").alias("said")).withColumn("domain", group(domain)).where("said").drop("said")
+    here = met(whole)
+    clear = here.where("range <> edge").select("doc_id", *LEVELS, "row", epochs)
+    ids = work.table("decided", decided.select("doc_id", *LEVELS, "epochs").distinct())
+    a, b = here.where("range = edge").select("doc_id", *LEVELS, "row").alias("a"), ids.alias("b")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
+    for c in LEVELS:
+        same &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    ending = a.join(b, same).select("a.doc_id", *[f"a.{c}" for c in LEVELS], "a.row", "b.epochs")
     return clear.union(ending).where("epochs > 0")
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """The columns of docs for the documents taken, each as often as its epochs say."""
+    """The columns of docs for the documents taken, each as often as its epochs say; odd rows as in select_mix."""
     taken = select_mix(docs, carry=True, **how)
     return taken.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select("row.*")
