@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +39,18 @@ def latest_asof(df: DataFrame, key: str, at, *, order: list | None = None) -> Da
     return latest.withColumn(ASOF, timestamp(at))
 
 
-def check_versions(df: DataFrame, key: str, at, table: str, allowed: frozenset[str] = frozenset()) -> None:
-    """ValueError if unlike rows up to the cutoff share key and time, but for the allowed keys."""
+def check_versions(df: DataFrame, key: str, at, table: str, allowed: frozenset[str] = frozenset()) -> int:
+    """ValueError if unlike rows up to the cutoff share key and time, but for the allowed keys: of those
+    the rows are counted, warned of, and all but one of each key left out by the snapshot."""
     bad = conflicting_keys(upto(df, at), [key, "timestamp"])
-    if allowed:
-        bad = bad.where(~F.col(key).isin(*allowed))
-    examples = bad.orderBy(key, "timestamp").limit(5).collect()
+    fine = F.col(key).isin(*allowed) if allowed else F.lit(False)
+    examples = bad.where(~fine).orderBy(key, "timestamp").limit(5).collect()
+    resolved = 0 if examples or not allowed else bad.where(fine).agg(F.sum("n_rows")).head()[0] or 0
+    if resolved:
+        warnings.warn(f"{table}: {resolved} rows of whitelisted {key} share a time; one of each is taken", stacklevel=3)
     if examples:
         raise ValueError(f"{table}: rows with equal ({key}, timestamp) differ, e.g. {[(x[0], str(x[1])) for x in examples]}")
+    return resolved
 
 
 def get_customer_snapshot_asof(customers: DataFrame, as_of, *, check: bool = True) -> DataFrame:

@@ -3,12 +3,14 @@ the semantics, as a filter before a conflict check can prevent a conflict."""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DUAL_ASSETS, PREFERRED_CATEGORY, TRANSACTION_KEY, required_columns
+from ..config import DUAL_ASSETS, PREFERRED_CATEGORY, SCHEMAS, TRANSACTION_KEY, required_columns
 from ..errors import DataConflictError
 from ..functions.scalars import known, plain_label, predicted_flag
 from .conflicts import any_order, conflicting_keys, drop_exact_duplicates, first_by, matched, raise_on_conflicts, require_columns, unmatched
@@ -16,7 +18,22 @@ from .conflicts import any_order, conflicting_keys, drop_exact_duplicates, first
 CAPACITY_RENAMES = {"GT300K": "CAP_GT300K"}
 
 
-def clean_customers(df: DataFrame) -> DataFrame:
+@dataclass
+class Notes:
+    """What cleaners dropped or resolved though it stops no run: (table, what, rows), counted only if notes are taken."""
+
+    taken: list[tuple[str, str, int]] = field(default_factory=list)
+
+    def take(self, table: str, what: str, rows: int) -> None:
+        if rows:
+            self.taken.append((table, what, int(rows)))
+            warnings.warn(f"{table}: {rows} rows, {what}", stacklevel=3)
+
+    def table(self, spark) -> DataFrame:
+        return spark.createDataFrame(self.taken, "`table` string, what string, n_rows long")
+
+
+def clean_customers(df: DataFrame, notes: Notes | None = None) -> DataFrame:
     """Versions of customers: conflicts are looked for in the raw labels, which are then normalised."""
     require_columns(df, required_columns("customers"), "customers")
     out = raise_on_conflicts(df.dropna(subset=["customerID", "timestamp"]), ["customerID", "timestamp"], "customers")
@@ -27,41 +44,57 @@ def clean_customers(df: DataFrame) -> DataFrame:
     })
 
 
-def resolve_dual_assets(df: DataFrame, dual: frozenset[str] = DUAL_ASSETS, preferred: str = PREFERRED_CATEGORY) -> DataFrame:
+def resolve_dual_assets(df: DataFrame, dual: frozenset[str] | DataFrame = DUAL_ASSETS, preferred: str = PREFERRED_CATEGORY, notes: Notes | None = None) -> DataFrame:
     """One row per (ISIN, timestamp): of assets known to be classified twice the preferred category,
-    else the row last in the order of all columns; any other conflict stops the run."""
+    else the row last in the order of all columns; any other conflict stops the run.
+
+    dual: ids, or a table of them with the column ISIN, which is joined.
+    """
     keys = ["ISIN", "timestamp"]
     distinct = drop_exact_duplicates(df)
-    bad = conflicting_keys(df, keys).where(~F.col("ISIN").isin(*dual) if dual else F.lit(True)).select("ISIN").distinct().orderBy("ISIN").limit(5).collect()
+    twice = conflicting_keys(df, keys)
+    if isinstance(dual, DataFrame):
+        unknown = unmatched(twice, "ISIN", dual)
+    else:
+        unknown = twice.where(~F.col("ISIN").isin(*dual)) if dual else twice
+    bad = unknown.select("ISIN").distinct().orderBy("ISIN").limit(5).collect()
+    if notes is not None and not bad:
+        notes.take("assets", "versions classified twice, resolved", twice.agg(F.sum("n_rows")).head()[0] or 0)
     if bad:
         raise DataConflictError(f"assets: rows with equal {keys} differ, e.g. {[x[0] for x in bad]}")
     best = F.coalesce(F.col("assetCategory") == preferred, F.lit(False)).desc()
     return first_by(distinct, keys, any_order(distinct, [best]))
 
 
-def clean_assets(df: DataFrame) -> DataFrame:
+def clean_assets(df: DataFrame, notes: Notes | None = None, *, dual: frozenset[str] | DataFrame = DUAL_ASSETS) -> DataFrame:
     require_columns(df, required_columns("assets"), "assets")
-    out = resolve_dual_assets(df.dropna(subset=["ISIN", "timestamp"]))
-    text = ["assetName", "assetShortName", "assetCategory", "assetSubCategory", "marketID", "sector", "industry"]
+    out = resolve_dual_assets(df.dropna(subset=["ISIN", "timestamp"]), dual, notes=notes)
+    text = [c.split()[0] for c in SCHEMAS["assets"].split(", ") if c.endswith(" string") and not c.startswith("ISIN ")]
     return out.withColumns({c: known(F.col(c)) for c in text})
 
 
-def clean_markets(df: DataFrame) -> DataFrame:
+def clean_markets(df: DataFrame, notes: Notes | None = None) -> DataFrame:
     require_columns(df, ["marketID"], "markets")
     out = raise_on_conflicts(df.dropna(subset=["marketID"]), ["marketID"], "markets")
     return out.withColumns({c: known(F.col(c)) for c, kind in out.dtypes if kind == "string"})
 
 
-def clean_close_prices(df: DataFrame) -> DataFrame:
+def clean_close_prices(df: DataFrame, notes: Notes | None = None) -> DataFrame:
     """Prices that aren't positive go first, so that they can't conflict."""
     require_columns(df, required_columns("close_prices"), "close_prices")
-    out = df.dropna(subset=["ISIN", "timestamp", "closePrice"]).where("closePrice > 0")
+    whole = df.dropna(subset=["ISIN", "timestamp", "closePrice"])
+    if notes is not None:
+        notes.take("close_prices", "price not above zero, dropped", whole.where("closePrice <= 0").count())
+    out = whole.where("closePrice > 0")
     return raise_on_conflicts(out, ["ISIN", "timestamp"], "close_prices")
 
 
-def clean_limit_prices(df: DataFrame) -> DataFrame:
+def clean_limit_prices(df: DataFrame, notes: Notes | None = None) -> DataFrame:
     require_columns(df, required_columns("limit_prices"), "limit_prices")
-    out = df.dropna(subset=["ISIN", "minDate", "maxDate"]).where("minDate <= maxDate")
+    whole = df.dropna(subset=["ISIN", "minDate", "maxDate"])
+    if notes is not None:
+        notes.take("limit_prices", "range ends before it begins, dropped", whole.where("minDate > maxDate").count())
+    out = whole.where("minDate <= maxDate")
     return raise_on_conflicts(out, ["ISIN"], "limit_prices")
 
 
@@ -73,13 +106,13 @@ def valid_transactions(df: DataFrame) -> DataFrame:
     return df.dropna(subset=TRANSACTION_CELLS).where(F.col("transactionType").isin("Buy", "Sell") & (F.col("units") > 0) & (F.col("totalValue") >= 0))
 
 
-def clean_transactions(df: DataFrame) -> DataFrame:
+def clean_transactions(df: DataFrame, notes: Notes | None = None) -> DataFrame:
     require_columns(df, required_columns("transactions"), "transactions")
     return raise_on_conflicts(valid_transactions(df), TRANSACTION_KEY, "transactions")
 
 
 #: the cleaner of each table; register others, or replace these, by name
-CLEANERS: dict[str, Callable[[DataFrame], DataFrame]] = {
+CLEANERS: dict[str, Callable[[DataFrame, Notes | None], DataFrame]] = {
     "customers": clean_customers, "assets": clean_assets, "markets": clean_markets,
     "close_prices": clean_close_prices, "limit_prices": clean_limit_prices, "transactions": clean_transactions,
 }
@@ -91,8 +124,10 @@ SINK_ORDER = {
 }
 
 
-def drop_orphans(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def drop_orphans(tables: dict[str, DataFrame], notes: Notes | None = None) -> dict[str, DataFrame]:
     """Prices and limits of assets that exist."""
+    for name in ("close_prices", "limit_prices") if notes is not None else ():
+        notes.take(name, "of unknown assets, dropped", unmatched(tables[name], "ISIN", tables["assets"]).count())
     return tables | {name: matched(tables[name], "ISIN", tables["assets"]) for name in ("close_prices", "limit_prices")}
 
 

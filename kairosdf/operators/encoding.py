@@ -54,12 +54,20 @@ class IDMapping:
         """Both maps on the driver, for the edges of a program only."""
         return tuple({x[0]: int(x[1]) for x in m.collect()} for m in (self.customers, self.assets))
 
-    def save(self, path: str) -> None:
-        """Two tables below path, which scale, and id_mapping.json beside them for other tools."""
+    def save(self, path: str, *, single: bool = False) -> None:
+        """Two tables beside path, and at path a folder of JSON lines (kind, id, idx) in the order of kind and idx.
+
+        single: instead one JSON document at path, with both maps, which must fit the driver.
+        """
         from ..sources.files import write_text
 
         for name, m in (("customers", self.customers), ("assets", self.assets)):
             m.write.mode("overwrite").parquet(f"{path}.tables/{name}")
+        if not single:
+            lines = self.customers.selectExpr("'customer' as kind", "cast(customerID as string) as id", "customer_idx as idx")
+            lines = lines.union(self.assets.selectExpr("'asset' as kind", "cast(ISIN as string) as id", "asset_idx as idx"))
+            lines.orderBy(F.desc("kind"), "idx").write.mode("overwrite").json(path)
+            return
         c, a = self.dicts()
         order = lambda d: dict(sorted(d.items(), key=lambda x: x[1]))
         text = json.dumps({"fitted_on": self.fitted_on, "customer_to_idx": order(c), "asset_to_idx": order(a)}, ensure_ascii=False, indent=2)
@@ -99,9 +107,14 @@ def cold_start_table(df: DataFrame, mapping: IDMapping) -> DataFrame:
 
 
 def encode_transactions(df: DataFrame, mapping: IDMapping, *, drop_unknown: bool = False, what: str = "transactions") -> DataFrame:
-    """All columns of df, then customer_idx and asset_idx.  Unknown ids raise, or their rows go."""
+    """All columns of df, then customer_idx and asset_idx.  Unknown ids raise, or their rows go.
+
+    Whether there are any is asked of the distinct ids; rows are counted only to say how many.
+    """
     if not drop_unknown:
-        n = cold_start_stats(df, mapping)
-        if n["unknown_any_rows"]:
+        names = ((mapping.customers, "customerID"), (mapping.assets, "ISIN"))
+        unknown = [df.where(F.col(c).isNull()).select(F.lit(1)).limit(1).union(df.select(c).distinct().join(m, c, "left_anti").select(F.lit(1)).limit(1)) for m, c in names]
+        if not unknown[0].union(unknown[1]).isEmpty():
+            n = cold_start_stats(df, mapping)
             raise ValueError(f"{what}: {n['unknown_any_rows']} cold-start rows ({n['unknown_customers']} customers and {n['unknown_assets']} assets not in the mapping fitted on {mapping.fitted_on!r})")
     return with_indexes(df, mapping, "inner").select(*[f"`{c}`" for c in df.columns], "customer_idx", "asset_idx")

@@ -120,8 +120,17 @@ def window_counts(events: DataFrame, frequency: str = "ME", column: str = "times
     return with_window(events, frequency, column).groupBy("window_start").agg(F.count("*").alias("n_events"))
 
 
-def iter_event_windows(events: DataFrame, frequency: str = "ME", column: str = "timestamp") -> Iterator[tuple[object, DataFrame]]:
-    """(first moment, events) of each calendar period that has any, in order; the events stay distributed."""
-    windowed = with_window(events, frequency, column)
-    for row in windowed.select("window_start").where("window_start is not null").distinct().orderBy("window_start").collect():
-        yield row[0], windowed.where(F.col("window_start") == timestamp(row[0])).drop("window_start")
+def iter_event_windows(events: DataFrame, frequency: str = "ME", column: str = "timestamp", *, folder: str | None = None) -> Iterator[tuple[object, DataFrame]]:
+    """(first moment, events) of each calendar period that has any, in order; the events stay distributed.
+
+    folder: where the events are written once, a partition for each period, so
+    that a period's frame reads its own files; without it each filters events.
+    """
+    windowed = with_window(events, frequency, column).where("window_start is not null")
+    if folder is not None:
+        name = windowed.withColumn("__window", F.date_format("window_start", "yyyyMMddHH"))
+        name.repartition("__window").write.mode("overwrite").partitionBy("__window").parquet(folder)
+        windowed = events.sparkSession.read.schema(name.schema).parquet(folder)
+    for row in windowed.select("window_start").distinct().orderBy("window_start").collect():
+        own = windowed.where(F.col("__window") == f"{row[0]:%Y%m%d%H}").drop("__window") if folder is not None else windowed.where(F.col("window_start") == timestamp(row[0]))
+        yield row[0], own.drop("window_start")

@@ -57,12 +57,15 @@ class PointInTimeState:
     def all_candidates(self, customers: DataFrame) -> DataFrame:
         """customerID, ISIN: what each of the customers could buy.
 
-        Its size is that of customers times universe, which is the answer's;
-        the universe is broadcast only while it is small enough for Spark to
-        do so by itself.
+        Its size is that of customers times universe, which is the answer's.
+        Only the asking customers' trades are added up: the semi join goes
+        below the aggregate.  A customer's own assets, a bounded list, travel
+        with the customer, so the product is never shuffled.
         """
-        pairs = customers.select("customerID").distinct().crossJoin(self.asset_universe)
-        return pairs.join(self.held(), ["customerID", "ISIN"], "left_anti")
+        asking = customers.select("customerID").distinct()
+        own = self.held().join(asking, "customerID", "left_semi").groupBy("customerID").agg(F.collect_set("ISIN").alias("__own"))
+        pairs = asking.join(own, "customerID", "left").crossJoin(self.asset_universe)
+        return pairs.where(~F.coalesce(F.array_contains("__own", F.col("ISIN")), F.lit(False))).select("customerID", "ISIN")
 
     def candidates(self, customer) -> set[str]:
         """What one customer could buy; a customer without history the whole universe."""

@@ -1,151 +1,198 @@
-"""Rules on tables and splits.  Aggregates run on the cluster, a row a table; the verdicts are formed
-on the driver, worst first: errors stop a run, warnings don't."""
+"""Rules on tables and splits.  Aggregates run on the cluster, one a table where rules allow; what they
+find are Findings, and messages are made from those.  Errors stop a run, warnings don't."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CLEAN_FILES, DEFAULT, DUAL_ASSETS, EVENT_ORDER, Protocol, required_columns
+from ..config import CLEAN_FILES, DEFAULT, DUAL_ASSETS, EVENT_ORDER, TRANSACTION_KEY, Protocol, required_columns
 from ..functions.scalars import midnight, missing_cells, timestamp
-from .conflicts import conflicting_rows, is_key_unique, out_of_order, reused_ids, unmatched
+from .conflicts import conflicting_rows, is_key_unique, out_of_order, reused_ids, row_hashes, unmatched
 from .splits import PrimarySplit, RollingSplit
 
+ORDINAL = "ordinal"
+
+
+@dataclass(frozen=True)
+class Finding:
+    """A broken rule: which, in what table or part, in which columns, how many rows, and the value at fault."""
+
+    severity: str
+    rule: str
+    table: str
+    columns: tuple[str, ...] = ()
+    rows: int = 0
+    detail: str = ""
+
+    def __str__(self) -> str:
+        parts = [f"[{self.rule}] {self.table}", f"({', '.join(self.columns)})" if self.columns else "", f"{self.rows} rows" if self.rows else "", self.detail]
+        return " ".join(x for x in parts if x)
+
+
+def report_of(findings: list[Finding], **more) -> dict:
+    """{ok, errors, warnings, findings, ...}; texts in errors and warnings, the same as dicts in findings."""
+    texts = {s: [str(x) for x in findings if x.severity == s] for s in ("error", "warning")}
+    return {"ok": not texts["error"], "errors": texts["error"], "warnings": texts["warning"], "findings": [asdict(x) for x in findings]} | more
+
+
+def findings_table(spark, findings: list[dict]) -> DataFrame:
+    """A report's findings as a table: severity, rule, table, columns (by comma), n_rows, detail."""
+    rows = [(x["severity"], x["rule"], x["table"], ",".join(x["columns"]), x["rows"], x["detail"]) for x in findings]
+    return spark.createDataFrame(rows, "severity string, rule string, `table` string, columns string, n_rows long, detail string")
+
 
 def table_profile(df: DataFrame) -> DataFrame:
-    """One row: rows, columns, missing_cells, duplicate_rows (those equal to another, but for one of each)."""
-    same = df.withColumn("__missing", missing_cells(dict(df.dtypes))).groupBy(*[f"`{c}`" for c in df.columns]).agg(F.count("*").alias("__n"), F.sum("__missing").alias("__m"))
+    """One row: rows, columns, missing_cells, duplicate_rows (those equal to another, but for one of each).
+
+    Rows meet by two hashes of all cells, 96 bits, not as a whole.
+    """
+    same = df.select(*row_hashes(df), missing_cells(dict(df.dtypes)).alias("__missing")).groupBy("__h1", "__h2").agg(F.count("*").alias("__n"), F.sum("__missing").alias("__m"))
     zero = F.lit(0).cast("long")
     return same.agg(F.coalesce(F.sum("__n"), zero).alias("rows"), F.lit(len(df.columns)).cast("long").alias("columns"), F.coalesce(F.sum("__m"), zero).alias("missing_cells"), F.coalesce(F.sum(F.col("__n") - 1), zero).alias("duplicate_rows"))
 
 
-def _count(df: DataFrame, **conditions: Column) -> dict[str, int]:
-    """How many rows meet each condition, in one pass."""
-    return df.agg(*[F.count_if(c).alias(k) for k, c in conditions.items()]).head().asDict() if conditions else {}
+def _empty(column: str) -> Column:
+    c = F.col(column).cast("double")
+    return c.isNull() | F.isnan(c)
 
 
-def _has(df: DataFrame, *columns: str) -> bool:
-    return set(columns) <= set(df.columns)
+#: rules on single rows, all errors: table, rule, columns, what a broken row is like
+NO_NULLS = {
+    "customers": ["customerID", "timestamp"], "assets": ["ISIN", "timestamp"], "markets": ["marketID"],
+    "close_prices": ["timestamp"], "transactions": ["transactionID", "timestamp"],
+}
 
 
-def validate_dataset(data: dict[str, DataFrame], protocol: Protocol = DEFAULT, *, dual_assets: frozenset[str] = DUAL_ASSETS, ordinal: str | None = None) -> dict:
-    """{ok, errors, warnings, stats} of the six tables.
+def _row_rules(name: str) -> list[tuple[str, tuple[str, ...], Column]]:
+    rules = [("no_nulls", (c,), F.col(c).isNull()) for c in NO_NULLS.get(name, [])]
+    if name == "transactions":
+        rules += [("no_nulls", (c,), _empty(c)) for c in ("units", "totalValue")]
+        rules += [("above_zero", ("units",), F.col("units") <= 0), ("not_below_zero", ("totalValue",), F.col("totalValue") < 0)]
+        rules += [("buy_or_sell", ("transactionType",), ~F.col("transactionType").isin("Buy", "Sell"))]
+    if name == "close_prices":
+        rules += [("above_zero", ("closePrice",), F.col("closePrice") <= 0)]
+    if name == "limit_prices":
+        rules += [("from_before_to", ("minDate", "maxDate"), F.col("minDate") > F.col("maxDate"))]
+    return rules
+
+
+VERSION_KEYS = {"customers": ["customerID", "timestamp"], "assets": ["ISIN", "timestamp"], "close_prices": ["ISIN", "timestamp"], "markets": ["marketID"], "limit_prices": ["ISIN"]}
+REFERENCES = [
+    ("error", "transactions", "customerID", "customers"), ("error", "transactions", "ISIN", "assets"), ("error", "transactions", "marketID", "markets"),
+    ("warning", "close_prices", "ISIN", "assets"), ("warning", "limit_prices", "ISIN", "assets"),
+]
+
+
+def validate_dataset(data: dict[str, DataFrame], protocol: Protocol = DEFAULT, *, dual_assets: frozenset[str] | DataFrame = DUAL_ASSETS, ordinal: str = ORDINAL) -> dict:
+    """{ok, errors, warnings, findings, stats} of the six tables.
 
     A rule is skipped where its columns are missing, which is an error of its
     own.  DataFrames have no order: the order rule looks at the column
-    `ordinal` of transactions, if one is named.
+    `ordinal` of transactions, as the catalogue reads it from files; without
+    that column it is skipped, and stats say so.
     """
-    errors: list[str] = []
-    warnings: list[str] = []
+    found: list[Finding] = []
     stats: dict[str, dict] = {}
+    data = dict(data)
+    order = data["transactions"].select(ordinal, *EVENT_ORDER) if {ordinal, *EVENT_ORDER} <= set(data["transactions"].columns) else None
+    data["transactions"] = data["transactions"].drop(ordinal)
+    has = {name: set(df.columns) for name, df in data.items()}
     for name in CLEAN_FILES:
         df = data[name]
         stats[name] = table_profile(df).head().asDict()
-        missing = sorted(set(required_columns(name)) - set(df.columns))
+        missing = sorted(set(required_columns(name)) - has[name])
         if missing:
-            errors.append(f"{name}: missing columns {missing}")
-    tx = data["transactions"]
-
-    null_checks = {"customers": ["customerID", "timestamp"], "assets": ["ISIN", "timestamp"], "markets": ["marketID"], "close_prices": ["timestamp"], "transactions": ["transactionID", "timestamp"]}
-    for name, columns in null_checks.items():
-        found = _count(data[name], **{c: F.col(c).isNull() for c in columns if c in data[name].columns})
-        errors += [f"{name}: null {c} exists" for c, n in found.items() if n]
+            found.append(Finding("error", "columns", name, tuple(missing)))
+        rules = [x for x in _row_rules(name) if set(x[1]) <= has[name]]
+        aggregates = [F.count_if(bad).alias(f"r{k}") for k, (_, _, bad) in enumerate(rules)]
+        if name == "transactions" and "timestamp" in has[name]:
+            short = midnight(F.max("timestamp")) < midnight(timestamp(protocol.test_end))
+            aggregates += [F.min("timestamp").cast("string").alias("lo"), F.max("timestamp").cast("string").alias("hi"), F.coalesce(short, F.lit(False)).alias("short")]
+        row = df.agg(*aggregates).head().asDict() if aggregates else {}
+        found += [Finding("error", rule, name, columns, row[f"r{k}"]) for k, (rule, columns, _) in enumerate(rules) if row[f"r{k}"]]
+        if row.get("lo") is not None:
+            stats[name] |= {"min_timestamp": row["lo"], "max_timestamp": row["hi"]}
+            if row["short"]:
+                found.append(Finding("warning", "history_reaches_end", name, ("timestamp",), 0, f"{row['hi']} < {protocol.test_end}"))
 
-    if _has(tx, "customerID", "transactionID"):
+    tx = data["transactions"]
+    if set(TRANSACTION_KEY) <= has["transactions"]:
         if not is_key_unique(tx):
-            errors.append("transactions: (customerID, transactionID) is not unique")
+            found.append(Finding("error", "unique_key", "transactions", tuple(TRANSACTION_KEY)))
         stats["transactions"]["globally_reused_transaction_ids"] = reused_ids(tx).count()
 
-    for name, keys in (("customers", ["customerID", "timestamp"]), ("assets", ["ISIN", "timestamp"]), ("close_prices", ["ISIN", "timestamp"]), ("markets", ["marketID"]), ("limit_prices", ["ISIN"])):
-        if not _has(data[name], *keys):
+    for name, keys in VERSION_KEYS.items():
+        if not set(keys) <= has[name]:
             continue
         rows = conflicting_rows(data[name], keys)
-        allowed = F.col("ISIN").isin(*dual_assets) if name == "assets" and dual_assets else F.lit(False)
-        n = _count(rows, all=F.lit(True), unknown=~allowed)
+        known = known_dual(rows, dual_assets) if name == "assets" else rows.withColumn("__dual", F.lit(False))
+        n = known.agg(F.count("*").alias("all"), F.count_if(~F.col("__dual")).alias("unknown")).head()
         if n["unknown"]:
-            errors.append(f"{name}: {n['unknown']} rows share {keys} but differ in content")
+            found.append(Finding("error", "one_version", name, tuple(keys), n["unknown"]))
         elif n["all"]:
-            warnings.append(f"{name}: {n['all']} rows of assets known to be classified twice share {keys}")
-
-    references: list[tuple[str, str, str, list[str]]] = [
-        ("transactions", "customerID", "customers", errors), ("transactions", "ISIN", "assets", errors), ("transactions", "marketID", "markets", errors),
-        ("close_prices", "ISIN", "assets", warnings), ("limit_prices", "ISIN", "assets", warnings),
-    ]
-    for name, column, table, out in references:
-        if _has(data[name], column) and _has(data[table], column) and (n := unmatched(data[name], column, data[table]).count()):
-            out.append(f"{name}: {n} rows with unknown {column}")
-
-    if _has(tx, "transactionType"):
-        kinds = tx.select("transactionType").where(F.col("transactionType").isNotNull() & ~F.col("transactionType").isin("Buy", "Sell")).distinct()
-        if invalid := sorted(x[0] for x in kinds.orderBy("transactionType").limit(20).collect()):
-            errors.append(f"transactions: invalid transactionType values {invalid}")
-    for column, bad, says in (("units", F.col("units") <= 0, "units <= 0"), ("totalValue", F.col("totalValue") < 0, "totalValue < 0")):
-        if _has(tx, column):
-            c = F.col(column).cast("double")
-            n = _count(tx, null=c.isNull() | F.isnan(c), bad=bad)
-            if n["null"]:
-                errors.append(f"transactions: {n['null']} null {column} values")
-            elif n["bad"]:
-                errors.append(f"transactions: {n['bad']} rows with {says}")
-    for name, columns, bad, says in (("close_prices", ["closePrice"], F.expr("closePrice <= 0"), "non-positive closePrice"), ("limit_prices", ["minDate", "maxDate"], F.expr("minDate > maxDate"), "minDate > maxDate")):
-        if _has(data[name], *columns) and _count(data[name], n=bad)["n"]:
-            errors.append(f"{name}: {says} exists")
-
-    if ordinal and _has(tx, ordinal, *EVENT_ORDER) and not out_of_order(tx, ordinal, EVENT_ORDER).isEmpty():
-        errors.append(f"transactions: not sorted by {EVENT_ORDER}")
-    if _has(tx, "timestamp"):
-        span = tx.agg(F.min("timestamp").cast("string").alias("lo"), F.max("timestamp").cast("string").alias("hi"), (midnight(F.max("timestamp")) < midnight(timestamp(protocol.test_end))).alias("short")).head()
-        if span["lo"] is not None:
-            stats["transactions"] |= {"min_timestamp": span["lo"], "max_timestamp": span["hi"]}
-            if span["short"]:
-                warnings.append(f"transactions: max timestamp {span['hi']} is earlier than the protocol's end {protocol.test_end}")
-    return {"ok": not errors, "errors": errors, "warnings": warnings, "stats": stats}
-
-
-def _span(df: DataFrame | None, issues: list[str], rules: list[tuple[str, Callable[[Column], Column], str]]) -> None:
-    """Rules on the least or largest timestamp of a frame: (least or largest, is bad, message)."""
-    if df is None or "timestamp" not in df.columns:
-        return
-    at = {"min": F.min("timestamp"), "max": F.max("timestamp")}
-    aggregates = [x for k, (side, bad, _) in enumerate(rules) for x in (F.coalesce(bad(at[side]), F.lit(False)).alias(f"bad{k}"), at[side].cast("string").alias(f"at{k}"))]
-    row = df.agg(*aggregates).head()
-    issues += [says.format(row[f"at{k}"]) for k, (_, _, says) in enumerate(rules) if row[f"bad{k}"]]
+            found.append(Finding("warning", "known_twice", name, tuple(keys), n["all"]))
+
+    for severity, name, column, table in REFERENCES:
+        if column in has[name] and column in has[table] and (n := unmatched(data[name], column, data[table]).count()):
+            found.append(Finding(severity, "known_reference", name, (column,), n, f"not in {table}"))
 
+    stats["transactions"]["order_checked"] = order is not None
+    if order is not None and (n := out_of_order(order, ordinal, EVENT_ORDER).count()):
+        found.append(Finding("error", "event_order", "transactions", tuple(EVENT_ORDER), n))
+    return report_of(found, stats=stats)
 
-def _no_later(label: str, end: str) -> tuple[str, Callable[[Column], Column], str]:
-    return "max", lambda c: c > timestamp(end), f"LEAKAGE: {label} has timestamp {{}} > {end}"
 
+def known_dual(rows: DataFrame, dual: frozenset[str] | DataFrame) -> DataFrame:
+    """rows with __dual: whether its ISIN is in the whitelist, which may be a table with that column."""
+    if isinstance(dual, DataFrame):
+        return rows.join(dual.select("ISIN").distinct().withColumn("__known", F.lit(True)), "ISIN", "left").withColumn("__dual", F.col("__known").isNotNull()).drop("__known")
+    return rows.withColumn("__dual", F.coalesce(F.col("ISIN").isin(*dual), F.lit(False)) if dual else F.lit(False))
 
-def _later(label: str, start: str) -> tuple[str, Callable[[Column], Column], str]:
-    return "min", lambda c: c <= timestamp(start), f"LEAKAGE: {label} has timestamp {{}} <= {start}"
+
+def _span(part: str, df: DataFrame | None, *, after: str | None = None, until: str | None = None) -> list[Finding]:
+    """That all timestamps of a part are after one moment and not after another."""
+    if df is None or "timestamp" not in df.columns:
+        return []
+    at = F.col("timestamp")
+    late = at > timestamp(until) if until else F.lit(False)
+    early = at <= timestamp(after) if after else F.lit(False)
+    row = df.agg(F.count_if(late).alias("late"), F.count_if(early).alias("early"), F.max("timestamp").cast("string").alias("hi"), F.min("timestamp").cast("string").alias("lo")).head()
+    out = [Finding("error", "not_after_cutoff", part, ("timestamp",), row["late"], f"up to {row['hi']}, cutoff {until}")] if row["late"] else []
+    return out + ([Finding("error", "after_cutoff", part, ("timestamp",), row["early"], f"from {row['lo']}, cutoff {after}")] if row["early"] else [])
+
+
+def _snapshot(part: str, df: DataFrame | None, cutoff: str, key: str | None) -> list[Finding]:
+    if df is None:
+        return []
+    out = _span(part, df, until=cutoff)
+    if "snapshot_asof_date" in df.columns:
+        n = df.where(~timestamp(F.col("snapshot_asof_date")).eqNullSafe(timestamp(cutoff))).count()
+        out += [Finding("error", "taken_at_cutoff", part, ("snapshot_asof_date",), n, f"cutoff {cutoff}")] if n else []
+    if key and not is_key_unique(df, [key]):
+        out.append(Finding("error", "one_row_each", part, (key,)))
+    return out
 
 
 def validate_primary_split(split: PrimarySplit) -> dict:
-    """{ok, issues}: no part reaches into another's time, no snapshot past its cutoff, one row an entity."""
-    issues: list[str] = []
-    _span(split.train, issues, [_no_later("train", split.train_end)])
-    _span(split.validation, issues, [_later("validation", split.train_end), _no_later("validation", split.validation_end)])
-    _span(split.test, issues, [_later("test", split.validation_end), _no_later("test", split.test_end)])
-    for cutoff, suffix, prices in ((split.train_end, "train", split.prices_upto_train_end), (split.validation_end, "validation", split.prices_upto_validation_end)):
-        for key, kind in (("customerID", "customer_snapshot"), ("ISIN", "asset_snapshot"), (None, "prices")):
-            df = prices if key is None else getattr(split, f"{kind}_{suffix}")
-            label = f"{kind}@{suffix}_end"
-            if df is None:
-                continue
-            _span(df, issues, [_no_later(label, cutoff)])
-            if "snapshot_asof_date" in df.columns and _count(df, n=~timestamp(F.col("snapshot_asof_date")).eqNullSafe(timestamp(cutoff)))["n"]:
-                issues.append(f"LEAKAGE/PROVENANCE: {label} snapshot_asof_date does not equal {cutoff}")
-            if key and not is_key_unique(df, [key]):
-                issues.append(f"LEAKAGE/SCHEMA: {label} has duplicate {key}")
-    return {"ok": not issues, "issues": issues}
+    """{ok, issues, findings}: no part reaches into another's time, no snapshot past its cutoff, one row an entity."""
+    found = _span("train", split.train, until=split.train_end)
+    found += _span("validation", split.validation, after=split.train_end, until=split.validation_end)
+    found += _span("test", split.test, after=split.validation_end, until=split.test_end)
+    for name, cutoff, prices in (("train", split.train_end, split.prices_upto_train_end), ("validation", split.validation_end, split.prices_upto_validation_end)):
+        found += _snapshot(f"customers at {name} end", getattr(split, f"customer_snapshot_{name}"), cutoff, "customerID")
+        found += _snapshot(f"assets at {name} end", getattr(split, f"asset_snapshot_{name}"), cutoff, "ISIN")
+        found += _snapshot(f"prices at {name} end", prices, cutoff, None)
+    report = report_of(found)
+    return {"ok": report["ok"], "issues": report["errors"], "findings": report["findings"]}
 
 
 def validate_rolling_split(item: RollingSplit) -> dict:
-    issues: list[str] = []
-    _span(item.train, issues, [_no_later("rolling train", item.cutoff)])
-    _span(item.test, issues, [_later("rolling test", item.cutoff), _no_later("rolling test", item.test_end)])
-    for label in ("customer_snapshot", "asset_snapshot", "prices_upto_t"):
-        _span(getattr(item, label), issues, [_no_later(f"rolling {label}", item.cutoff)])
-    return {"ok": not issues, "issues": issues}
+    name = f"window {item.window}"
+    found = _span(f"{name} train", item.train, until=item.cutoff) + _span(f"{name} test", item.test, after=item.cutoff, until=item.test_end)
+    for what, df in (("customers", item.customer_snapshot), ("assets", item.asset_snapshot), ("prices", item.prices_upto_t)):
+        found += _span(f"{name} {what}", df, until=item.cutoff)
+    report = report_of(found)
+    return {"ok": report["ok"], "issues": report["errors"], "findings": report["findings"]}

@@ -70,10 +70,13 @@ def part_stats(split: PrimarySplit) -> dict[str, dict]:
     return out
 
 
-def build_checkpoint(spark: SparkSession, *, raw_dir: str, processed_dir: str, output_dir: str, reports_dir: str, skip_clean: bool = False, kind: str = "csv", raw_kind: str = "csv", protocol: Protocol = DEFAULT) -> dict:
+def build_checkpoint(spark: SparkSession, *, raw_dir: str, processed_dir: str, output_dir: str, reports_dir: str, skip_clean: bool = False, kind: str = "csv", raw_kind: str = "csv", protocol: Protocol = DEFAULT, single_id_json: bool = False) -> dict:
+    """Everything, in order.  File names, flags and the reports' keys are fixed values; single_id_json writes the id
+    mapping as one JSON document, which must fit the driver, instead of JSON lines."""
     cleaning = None if skip_clean else run_cleaning(spark, raw_dir, processed_dir, f"{reports_dir}/cleaning_report.json", kind=kind, raw_kind=raw_kind)
-    data = TableCatalog(spark, processed_dir, output_dir, kind=kind, protocol=protocol).load_all()
-    report = validate_dataset(data, protocol)
+    catalog = TableCatalog(spark, processed_dir, output_dir, kind=kind, protocol=protocol)
+    data = catalog.load_all()
+    report = validate_dataset(data | {"transactions": catalog.load_transactions(ordinal="ordinal")}, protocol)
     write_json(spark, f"{reports_dir}/data_quality_report.json", report)
     if not report["ok"]:
         raise ValueError("the tables break rules: " + "; ".join(report["errors"]))
@@ -94,7 +97,7 @@ def build_checkpoint(spark: SparkSession, *, raw_dir: str, processed_dir: str, o
             _Sink(f"{output_dir}/rolling/{rolling_folder(item)}", kind)(build_holdings_asof(tx, item.cutoff), "holdings_asof_cutoff", pair)
 
         mapping = fit_id_mapping(primary.train, fitted_on="primary_train")
-        mapping.save(f"{output_dir}/id_mapping.json")
+        mapping.save(f"{output_dir}/id_mapping.json", single=single_id_json)
         graph = build_temporal_graph_events(primary.train, as_of=protocol.train_end, mapping=mapping)
         edges = edge_snapshot(graph.frame)
         pairs = baseline_interactions(primary.train, mapping, value=True).pairs
@@ -121,14 +124,15 @@ def build_checkpoint(spark: SparkSession, *, raw_dir: str, processed_dir: str, o
     return report
 
 
-def main() -> None:
+def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description="Build splits, holdings, graph and reports")
     parser.add_argument("--raw-dir", default="data/raw")
     parser.add_argument("--processed-dir", default="data/processed")
     parser.add_argument("--output-dir", default="data/splits")
     parser.add_argument("--reports-dir", default="reports")
     parser.add_argument("--skip-clean", action="store_true")
-    args = parser.parse_args()
+    parser.add_argument("--single-id-json", action="store_true")
+    args = parser.parse_args(argv)
     report = build_checkpoint(SparkSession.builder.getOrCreate(), **vars(args))
     print(json.dumps(report["primary_split"], indent=2))
 

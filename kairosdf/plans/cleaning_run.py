@@ -10,20 +10,29 @@ from pyspark.sql import functions as F
 
 from ..config import CLEAN_FILES, RAW_FILES, TRANSACTION_KEY
 from ..functions.scalars import missing_cells
-from ..operators.cleaning import CLEANERS, SINK_ORDER, check_references, drop_orphans
+from ..operators.cleaning import CLEANERS, SINK_ORDER, Notes, check_references, drop_orphans
 from ..operators.conflicts import reused_ids
 from ..sources.files import write_json
 from ..sources.tables import load_raw_tables, write_table
 
 
-def clean_tables(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Clean each table, drop prices of unknown assets, and refuse transactions that refer to nothing."""
-    clean = drop_orphans({name: CLEANERS[name](raw[name]) for name in RAW_FILES})
-    check_references(clean)
+def clean_tables(raw: dict[str, DataFrame], notes: Notes | None = None) -> dict[str, DataFrame]:
+    """Clean each table, drop prices of unknown assets, and refuse transactions that refer to nothing.
+
+    The clean tables are kept, as the checks, the writers and the report read them; unpersist them when done.
+    """
+    kept = {name: CLEANERS[name](raw[name], notes).persist() for name in RAW_FILES}
+    try:
+        clean = drop_orphans(kept, notes)
+        check_references(clean)
+    except Exception:
+        for df in kept.values():
+            df.unpersist()
+        raise
     return clean
 
 
-def cleaning_report(raw: dict[str, DataFrame], clean: dict[str, DataFrame]) -> dict:
+def cleaning_report(raw: dict[str, DataFrame], clean: dict[str, DataFrame], notes: Notes | None = None) -> dict:
     tables = {}
     for name in RAW_FILES:
         before = raw[name].count()
@@ -32,7 +41,7 @@ def cleaning_report(raw: dict[str, DataFrame], clean: dict[str, DataFrame]) -> d
     tx = clean["transactions"]
     span = tx.agg(F.min("timestamp").cast("string"), F.max("timestamp").cast("string")).head()
     return {
-        "ok": True, "transaction_key": TRANSACTION_KEY, "tables": tables,
+        "ok": True, "transaction_key": TRANSACTION_KEY, "tables": tables, "notes": [dict(zip(("table", "what", "rows"), x, strict=True)) for x in (notes.taken if notes else [])],
         "transactions": {
             "unique_composite_keys": tx.select(*TRANSACTION_KEY).distinct().count(), "globally_reused_transaction_ids": reused_ids(tx).count(),
             "min_timestamp": span[0] or "NaT", "max_timestamp": span[1] or "NaT",
@@ -41,23 +50,27 @@ def cleaning_report(raw: dict[str, DataFrame], clean: dict[str, DataFrame]) -> d
 
 
 def run_cleaning(spark: SparkSession, input_dir: str, output_dir: str, report_path: str | None = None, *, kind: str = "csv", raw_kind: str = "csv") -> dict:
-    """Nothing is written unless every check passes."""
-    raw = load_raw_tables(spark, input_dir, raw_kind)
-    clean = clean_tables(raw)
-    for name, file in CLEAN_FILES.items():
-        write_table(clean[name], f"{output_dir}/{file if kind == 'csv' else file.removesuffix('.csv') + '.parquet'}", kind, SINK_ORDER[name])
-    report = cleaning_report(raw, clean)
+    """Nothing is written unless every check passes.  What was dropped is in the report's notes and warned of."""
+    raw, notes = load_raw_tables(spark, input_dir, raw_kind), Notes()
+    clean = clean_tables(raw, notes)
+    try:
+        for name, file in CLEAN_FILES.items():
+            write_table(clean[name], f"{output_dir}/{file if kind == 'csv' else file.removesuffix('.csv') + '.parquet'}", kind, SINK_ORDER[name])
+        report = cleaning_report(raw, clean, notes)
+    finally:
+        for df in clean.values():
+            df.unpersist()
     if report_path is not None:
         write_json(spark, report_path, report)
     return report
 
 
-def main() -> None:
+def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description="Clean the six tables")
     parser.add_argument("--input-dir", default="data/raw")
     parser.add_argument("--output-dir", default="data/processed")
     parser.add_argument("--report", default="reports/cleaning_report.json")
-    args = parser.parse_args()
+    args = parser.parse_args(argv)
     print(json.dumps(run_cleaning(SparkSession.builder.getOrCreate(), args.input_dir, args.output_dir, args.report), indent=2))
 
 

@@ -7,6 +7,7 @@ order's customer in its part, a returned one a sale.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,7 +151,7 @@ def customer_snapshot_asof(spark, sf_dir):
 @query(f"""select cast(l_partkey as varchar) as "ISIN", max(l_shipdate) as "timestamp", arg_max(p, l_shipdate) as "closePrice", timestamp '{TRAIN_END}' as snapshot_asof_date from (
     select l_partkey, l_shipdate, max(l_extendedprice) as p from lineitem where l_shipdate <= timestamp '{TRAIN_END}' group by all) group by l_partkey""")
 def asset_snapshot_asof(spark, sf_dir):
-    return asof.get_asset_snapshot_asof(prices(spark, sf_dir), TRAIN_END, check=False)
+    return asof.get_asset_snapshot_asof(prices(spark, sf_dir), TRAIN_END)
 
 
 @query(f"""select cast(l_partkey as varchar) as "ISIN", l_shipdate as "timestamp", max(l_extendedprice) as "closePrice" from lineitem where l_shipdate <= timestamp '{TRAIN_END}' group by all""")
@@ -184,8 +185,8 @@ def conflicting_rows(spark, sf_dir):
 
 @query("""select cast(p_partkey as varchar) as "ISIN", case when p_partkey % 3 = 0 then 'MTF' else p_brand end as "assetCategory" from part""")
 def priority_dedup(spark, sf_dir):
-    known = _read(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.collect_set(F.col("p_partkey").cast("string"))).head()[0]
-    return cleaning.resolve_dual_assets(raw_assets(spark, sf_dir), frozenset(known)).select("ISIN", "assetCategory")
+    known = _read(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("ISIN"))
+    return cleaning.resolve_dual_assets(raw_assets(spark, sf_dir), known).select("ISIN", "assetCategory")
 
 
 @query("""select l_orderkey || '-' || l_linenumber as "transactionID", count(*) as n_rows from lineitem group by all having count(*) > 1""")
@@ -230,10 +231,11 @@ def clean_customers(spark, sf_dir):
     return cleaning.clean_customers(labelled_customers(spark, sf_dir))
 
 
-@query("""select cast(p_partkey as varchar) as "ISIN", p_name as "assetName", 'Unknown' as "assetShortName", p_brand as "assetCategory", p_type as "assetSubCategory",
+@query("""select cast(p_partkey as varchar) as "ISIN", p_name as "assetName", 'Unknown' as "assetShortName", case when p_partkey % 3 = 0 then 'MTF' else p_brand end as "assetCategory", p_type as "assetSubCategory",
     'm' as "marketID", 'Unknown' as sector, 'Unknown' as industry, timestamp '1995-01-01' as "timestamp" from part""")
 def clean_assets(spark, sf_dir):
-    return cleaning.clean_assets(raw_assets(spark, sf_dir).where("assetCategory <> 'MTF'"))
+    known = _read(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("ISIN"))
+    return cleaning.clean_assets(raw_assets(spark, sf_dir), dual=known)
 
 
 @query("""select cast(s_suppkey as varchar) as "marketID", case when s_nationkey > 5 then s_name else 'Unknown' end as name from supplier""")
@@ -390,9 +392,16 @@ def rolling_summary(spark, sf_dir):
     return splits.rolling_summary(transactions(spark, sf_dir), PROTOCOL)
 
 
-@query(f"""with {_TX} select * from tx where "timestamp" > timestamp '1998-07-01 23:59:59' and "timestamp" <= timestamp '1999-01-01 23:59:59'""")
-def rolling_test_window(spark, sf_dir):
-    return splits.build_rolling_splits(transactions(spark, sf_dir), protocol=PROTOCOL)[1].test
+@query(f"""with {_TX}, {_BOUNDS} select "window", tx.* from tx join b on "timestamp" > lo and "timestamp" <= hi""")
+def rolling_test_windows(spark, sf_dir):
+    parts = [x.test.select(F.lit(x.window).alias("window"), "*") for x in splits.build_rolling_splits(transactions(spark, sf_dir), protocol=PROTOCOL)]
+    return reduce(DataFrame.union, parts)
+
+
+@query(f"""with {_TX}, {_BOUNDS} select "window", count(*) as n_rows, {_MONEY.format('"totalValue"')} as total_value from tx join b on "timestamp" <= lo group by 1""")
+def rolling_train_windows(spark, sf_dir):
+    parts = [x.train.select(F.lit(x.window).alias("window"), "totalValue") for x in splits.build_rolling_splits(transactions(spark, sf_dir), protocol=PROTOCOL)]
+    return reduce(DataFrame.union, parts).groupBy("window").agg(F.count("*").alias("n_rows"), S.exact_sum(F.col("totalValue")).alias("total_value"))
 
 
 @query(f"""with {_TX}, p as (select *, {_PART} as split from tx) select "customerID", "ISIN", "transactionID" from p where split = 'test' and not exists
@@ -427,23 +436,27 @@ def _tables(spark, sf_dir) -> dict[str, DataFrame]:
     }
 
 
+def _findings(spark, reports: dict[str, dict]) -> DataFrame:
+    """The findings of several reports: about, severity, rule, table, columns, n_rows."""
+    rows = [(about, x["severity"], x["rule"], x["table"], ",".join(x["columns"]), x["rows"]) for about, r in reports.items() for x in r["findings"]]
+    return spark.createDataFrame(rows, "about string, severity string, rule string, `table` string, columns string, n_rows long")
+
+
 @query("""with bad as (select count(*) as n from lineitem where l_suppkey in (select s_suppkey from supplier where s_nationkey = 3)),
     dual as (select sum(case when p_partkey % 3 = 0 then 2 else 0 end)::bigint as n from part)
-select 'error' as severity, 'assets: ' || n || ' rows share [''ISIN'', ''timestamp''] but differ in content' as message from dual
-union all select 'error', 'transactions: ' || n || ' rows with unknown marketID' from bad where n > 0
-union all select 'warning', 'transactions: max timestamp ' || strftime(max(l_shipdate), '%Y-%m-%d %H:%M:%S') || ' is earlier than the protocol''s end 2001-12-31 23:59:59' from lineitem having max(l_shipdate) < timestamp '2001-12-31'""")
+select 'data' as about, 'error' as severity, 'one_version' as rule, 'assets' as "table", 'ISIN,timestamp' as columns, n as n_rows from dual
+union all select 'data', 'error', 'known_reference', 'transactions', 'marketID', n from bad where n > 0
+union all select 'data', 'warning', 'history_reaches_end', 'transactions', 'timestamp', 0 from lineitem having max(l_shipdate) < timestamp '2001-12-31'""")
 def quality_rules(spark, sf_dir):
-    report = rules.validate_dataset(_tables(spark, sf_dir), PROTOCOL)
-    rows = [("error", x) for x in report["errors"]] + [("warning", x) for x in report["warnings"]]
-    return spark.createDataFrame(rows, "severity string, message string")
+    return _findings(spark, {"data": rules.validate_dataset(_tables(spark, sf_dir), PROTOCOL)})
 
 
 @query("select 'primary' as split, true as ok, 0::bigint as issues union all select 'rolling ' || n, true, 0 from range(1, 6) t(n)")
 def leakage_rules(spark, sf_dir):
     tx, versions, dated = transactions(spark, sf_dir), labelled_customers(spark, sf_dir), prices(spark, sf_dir)
     inputs = tx, versions, dated, dated
-    checks = [("primary", rules.validate_primary_split(splits.build_primary_split(*inputs, PROTOCOL, check=False)))]
-    checks += [(f"rolling {x.window}", rules.validate_rolling_split(x)) for x in splits.build_rolling_splits(*inputs, PROTOCOL, check=False)]
+    checks = [("primary", rules.validate_primary_split(splits.build_primary_split(*inputs, PROTOCOL)))]
+    checks += [(f"rolling {x.window}", rules.validate_rolling_split(x)) for x in splits.build_rolling_splits(*inputs, PROTOCOL)]
     return spark.createDataFrame([(n, c["ok"], len(c["issues"])) for n, c in checks], "split string, ok boolean, issues long")
 
 

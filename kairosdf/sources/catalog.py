@@ -13,7 +13,7 @@ from ..operators.encoding import IDMapping, encode_transactions, fit_id_mapping
 from ..operators.graph import TemporalGraphEvents, build_temporal_graph_events
 from ..operators.interactions import BaselineInteractions, baseline_interactions
 from .files import exists
-from .tables import read_table
+from .tables import read_csv, read_table
 
 ASOF = ", snapshot_asof_date timestamp_ntz"
 SPLITS = ("train", "validation", "test")
@@ -63,8 +63,11 @@ class TableCatalog:
     def load_limit_prices(self) -> DataFrame:
         return self.load("limit_prices")
 
-    def load_transactions(self, *, ordered: bool = False) -> DataFrame:
-        """ordered: in EVENT_ORDER, a sort of all rows for where the order is looked at."""
+    def load_transactions(self, *, ordered: bool = False, ordinal: str | None = None) -> DataFrame:
+        """ordered: in EVENT_ORDER, a sort of all rows for where the order is looked at; ordinal: a column
+        for their order as stored, which the order rule looks at (CSV only)."""
+        if ordinal and self.kind == "csv":
+            return read_csv(self.spark, self.resolve(CLEAN_FILES["transactions"]), clean_schema("transactions"), ordinal=ordinal)
         df = self.load("transactions")
         return df.orderBy(*EVENT_ORDER) if ordered else df
 
@@ -110,8 +113,8 @@ class TableCatalog:
     def iter_transaction_batches(self, split: str = "train", *, batch_size: int = 65_536, mapping: IDMapping | None = None, drop_unknown: bool = False) -> Iterator:
         """pandas frames of at most batch_size rows, in EVENT_ORDER over all of them.
 
-        One partition at a time is on the driver.  Unknown ids raise before
-        the first batch, or their rows are left out.
+        A partition and the one fetched ahead are on the driver, as Arrow.
+        Unknown ids raise before the first batch, or their rows are left out.
         """
         if batch_size <= 0:
             raise ValueError("batch_size must be positive")
@@ -135,17 +138,29 @@ class TableCatalog:
 
 
 def iter_batches(df: DataFrame, batch_size: int) -> Iterator:
-    """pandas frames of batch_size rows, the last one shorter, in df's order."""
-    import pandas as pd
-
-    held: list = []
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        held.append(row)
-        if len(held) == batch_size:
-            yield pd.DataFrame(held, columns=df.columns)
-            held = []
-    if held:
-        yield pd.DataFrame(held, columns=df.columns)
+    """pandas frames of batch_size rows, the last one shorter, in df's order.
+
+    Rows travel in Arrow batches, each packed into one cell.
+    """
+    import pyarrow as pa
+
+    def packed(batches):
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows"])
+
+    held, size = [], 0
+    for cell in df.mapInArrow(packed, "rows binary").toLocalIterator(prefetchPartitions=True):
+        held.append(pa.ipc.open_stream(pa.py_buffer(bytes(cell.rows))).read_all())
+        size += held[-1].num_rows
+        while size >= batch_size:
+            whole = pa.concat_tables(held)
+            yield whole.slice(0, batch_size).to_pandas()
+            held, size = [whole.slice(batch_size)], size - batch_size
+    if size:
+        yield pa.concat_tables(held).to_pandas()
 
 
 def time_ordinal(df: DataFrame) -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
+import uuid
+from contextlib import suppress
 
 from pyspark.sql import SparkSession
 
@@ -33,3 +38,29 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 def write_json(spark: SparkSession, path: str, report: dict) -> None:
     write_text(spark, path, json.dumps(report, indent=2, default=str))
+
+
+_own: dict[str, str] = {}
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder that every executor can reach, below spark.checkpoint.dir; where that is unset and the
+    master is local, as in tests, a temporary one.  It goes when the process ends."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if "dir" not in _own:
+            _own["dir"] = "file://" + tempfile.mkdtemp(prefix="kairosdf-")
+            atexit.register(shutil.rmtree, _own["dir"].removeprefix("file://"), ignore_errors=True)
+        where = _own["dir"]
+    path = f"{where.rstrip('/')}/kairosdf-study/{uuid.uuid4().hex[:12]}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):
+        if spark.sparkContext._jsc is not None:
+            p, fs = _fs(spark, path)
+            fs.delete(p, True)

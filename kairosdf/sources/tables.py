@@ -11,13 +11,15 @@ from ..operators.conflicts import require_columns
 from .files import exists
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str, *, ordinal: str | None = None) -> DataFrame:
     """A CSV file or folder with a header, its columns found by name, in any order.
 
     Cells that spell a missing value are null.  A cell that is there but is no
     value of its column's type raises when it is read, rather than turn into a
     null that a cleaner would drop.  Columns that the schema doesn't name are
-    kept as text.
+    kept as text.  ordinal names a column for the rows' order as stored: by
+    file name, then by place, as a file with records over several lines is
+    read by one task from beginning to end.
     """
     if not exists(spark, path):
         raise FileNotFoundError(f"no such table: {path}")
@@ -28,7 +30,16 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
         cell = F.col(f"`{name}`")
         cell = F.when(~cell.isin(*NA_TOKENS), cell)
         columns.append(cell.cast(types.get(name, T.StringType())).alias(name))
-    return raw.select(*columns)
+    return stored_order(raw, columns, ordinal) if ordinal else raw.select(*columns)
+
+
+def stored_order(raw: DataFrame, columns: list, ordinal: str) -> DataFrame:
+    """columns of raw, a scan whose files aren't split, and the rows' stored order."""
+    place = raw.select(*columns, F.col("_metadata.file_name").alias("__file"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"))
+    names = sorted({f.rsplit("/", 1)[-1] for f in raw.inputFiles()})
+    number = F.broadcast(raw.sparkSession.createDataFrame(list(enumerate(names)), "__number long, __name string"))  # a row a file
+    out = place.join(number, F.url_decode(F.col("__file")) == F.url_decode(F.col("__name")))
+    return out.withColumn(ordinal, F.col("__number") * F.lit(1 << 33) + F.col("__place")).drop("__file", "__place", "__number", "__name")
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None, kind: str = "csv") -> DataFrame:

@@ -62,8 +62,9 @@ def test_report(built):
     assert report["cold_start_against_train_mapping"]["test"]["unknown_any_rows"] == 0 and report["temporal_graph"]["events"] == parts["train"]["rows"]
     assert report["primary_leakage"]["ok"] and len(report["rolling_leakage"]) == 5
     assert json.loads((at / "reports/checkpoint1_report.json").read_text())["baseline"]["mapping_fitted_on"] == "primary_train"
-    mapping = json.loads((at / "splits/id_mapping.json").read_text())
-    assert mapping["customer_to_idx"]["000"] == 0 and list(mapping["asset_to_idx"]) == [f"A{k}" for k in range(5)]
+    lines = [json.loads(x) for part in sorted((at / "splits/id_mapping.json").glob("part-*")) for x in part.read_text().splitlines()]
+    assert lines[0] == {"kind": "customer", "id": "000", "idx": 0} and [x["id"] for x in lines if x["kind"] == "asset"] == [f"A{k}" for k in range(5)]
+    assert sorted((x["table"], x["rows"]) for x in report["cleaning"]["notes"]) == [("close_prices", 1), ("close_prices", 1)] and report["stats"]["transactions"]["order_checked"]
 
 
 def test_catalogue(spark, built):
@@ -125,15 +126,15 @@ def tables(spark, **changes):
 
 DAY = datetime(2022, 11, 30)
 BROKEN = [
-    ("transactions", [(None, "A1", "1", "Buy", DAY, 1.0, 1.0, "Web", "M1")], "unknown customerID"), ("transactions", [("C1", "A9", None, "Buy", DAY, 1.0, 1.0, "Web", "M1")], "null transactionID"),
-    ("transactions", [("C1", "A9", "1", "Buy", DAY, 1.0, 1.0, "Web", "M1")], "unknown ISIN"), ("transactions", [("C1", "A1", "1", "Buy", DAY, 1.0, 1.0, "Web", None)], "unknown marketID"),
-    ("transactions", [("C1", "A1", "1", "Gift", DAY, 1.0, 1.0, "Web", "M1")], "invalid transactionType"), ("transactions", [("C1", "A1", "1", "Buy", DAY, 1.0, None, "Web", "M1")], "1 null units"),
-    ("transactions", [("C1", "A1", "1", "Buy", DAY, 1.0, 0.0, "Web", "M1")], "units <= 0"), ("transactions", [("C1", "A1", "1", "Buy", DAY, -1.0, 1.0, "Web", "M1")], "totalValue < 0"),
-    ("transactions", [("C1", "A1", "1", "Buy", DAY, None, 1.0, "Web", "M1")], "null totalValue"), ("transactions", [("C1", "A1", "1", "Buy", None, 1.0, 1.0, "Web", "M1")], "transactions: null timestamp"),
-    ("transactions", [("C1", "A1", "1", "Buy", DAY, 1.0, 1.0, "Web", "M1")] * 2, "is not unique"), ("customers", [("C1", "t", "Low", "x", None, DAY), ("C1", "t", "High", "x", None, DAY)], "customers: 2 rows share"),
-    ("customers", [(None, "t", "Low", "x", None, DAY), ("C1", "t", "Low", "x", None, DAY)], "customers: null customerID"), ("markets", [("E", "M1", "n", "d", "c", "t", "h", "m"), ("F", "M1", "n", "d", "c", "t", "h", "m")], "markets: 2 rows share"),
-    ("close_prices", [("A1", DAY, 0.0)], "non-positive"), ("close_prices", [("A1", DAY, 1.0), ("A1", DAY, 2.0)], "close_prices: 2 rows share"), ("close_prices", [("A1", None, 1.0)], "close_prices: null timestamp"),
-    ("limit_prices", [("A1", DAY, datetime(2020, 1, 1), 1.0, 1.0, 0.0)], "minDate > maxDate"), ("assets", [("A1", "n", "n", k, "s", "M1", "s", "i", DAY) for k in ("MTF", "Stock")], "assets: 2 rows share"),
+    ("transactions", [(None, "A1", "1", "Buy", DAY, 1.0, 1.0, "Web", "M1")], "[known_reference] transactions (customerID)"), ("transactions", [("C1", "A9", None, "Buy", DAY, 1.0, 1.0, "Web", "M1")], "[no_nulls] transactions (transactionID)"),
+    ("transactions", [("C1", "A9", "1", "Buy", DAY, 1.0, 1.0, "Web", "M1")], "[known_reference] transactions (ISIN)"), ("transactions", [("C1", "A1", "1", "Buy", DAY, 1.0, 1.0, "Web", None)], "[known_reference] transactions (marketID)"),
+    ("transactions", [("C1", "A1", "1", "Gift", DAY, 1.0, 1.0, "Web", "M1")], "[buy_or_sell]"), ("transactions", [("C1", "A1", "1", "Buy", DAY, 1.0, None, "Web", "M1")], "[no_nulls] transactions (units) 1 rows"),
+    ("transactions", [("C1", "A1", "1", "Buy", DAY, 1.0, 0.0, "Web", "M1")], "[above_zero] transactions (units)"), ("transactions", [("C1", "A1", "1", "Buy", DAY, -1.0, 1.0, "Web", "M1")], "[not_below_zero]"),
+    ("transactions", [("C1", "A1", "1", "Buy", DAY, None, 1.0, "Web", "M1")], "[no_nulls] transactions (totalValue)"), ("transactions", [("C1", "A1", "1", "Buy", None, 1.0, 1.0, "Web", "M1")], "[no_nulls] transactions (timestamp)"),
+    ("transactions", [("C1", "A1", "1", "Buy", DAY, 1.0, 1.0, "Web", "M1")] * 2, "[unique_key]"), ("customers", [("C1", "t", "Low", "x", None, DAY), ("C1", "t", "High", "x", None, DAY)], "[one_version] customers (customerID, timestamp) 2 rows"),
+    ("customers", [(None, "t", "Low", "x", None, DAY), ("C1", "t", "Low", "x", None, DAY)], "[no_nulls] customers (customerID)"), ("markets", [("E", "M1", "n", "d", "c", "t", "h", "m"), ("F", "M1", "n", "d", "c", "t", "h", "m")], "[one_version] markets"),
+    ("close_prices", [("A1", DAY, 0.0)], "[above_zero] close_prices"), ("close_prices", [("A1", DAY, 1.0), ("A1", DAY, 2.0)], "[one_version] close_prices"), ("close_prices", [("A1", None, 1.0)], "[no_nulls] close_prices (timestamp)"),
+    ("limit_prices", [("A1", DAY, datetime(2020, 1, 1), 1.0, 1.0, 0.0)], "[from_before_to]"), ("assets", [("A1", "n", "n", k, "s", "M1", "s", "i", DAY) for k in ("MTF", "Stock")], "[one_version] assets (ISIN, timestamp) 2 rows"),
 ]
 
 
@@ -149,7 +150,7 @@ def test_sound_tables_and_warnings(spark):
     assert report["ok"] and len(report["warnings"]) == 2 and report["stats"]["transactions"]["max_timestamp"] == "2020-01-01 00:00:00"
     data = tables(spark)
     missing = validate_dataset(data | {"transactions": data["transactions"].drop("units", "marketID")})
-    assert missing["errors"] == ["transactions: missing columns ['marketID', 'units']"]
+    assert missing["errors"] == ["[columns] transactions (marketID, units)"]
 
 
 def test_order_rule(spark):
@@ -158,7 +159,7 @@ def test_order_rule(spark):
     good = data | {"transactions": time_ordinal(data["transactions"])}
     assert validate_dataset(good, ordinal="ordinal")["ok"]
     bad = good | {"transactions": good["transactions"].selectExpr("*", "-ordinal as backwards")}
-    assert any("not sorted" in e for e in validate_dataset(bad, ordinal="backwards")["errors"])
+    assert any("[event_order]" in e for e in validate_dataset(bad, ordinal="backwards")["errors"])
 
 
 def test_profile_counts_repeats_and_gaps(spark):
@@ -185,3 +186,40 @@ def test_stream_replay_and_windows(spark, tmp_path):
     query = counted.writeStream.format("memory").queryName("counted").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("select sum(n_events) from counted").head()[0] == 40
+
+
+def test_notes_are_warned_of(spark):
+    from kairosdf.operators import cleaning
+
+    notes = cleaning.Notes()
+    prices = spark.createDataFrame([("A1", DAY, 1.0), ("A1", DAY, 0.0), ("A2", DAY, -1.0), ("A3", None, -1.0)], SCHEMAS["close_prices"])
+    with pytest.warns(UserWarning, match="2 rows"):
+        assert cleaning.clean_close_prices(prices, notes).count() == 1
+    assert notes.taken == [("close_prices", "price not above zero, dropped", 2)]
+
+
+def test_equal_rows_are_no_conflict_wherever_nulls_stand(spark):
+    from kairosdf import DataConflictError
+    from kairosdf.operators import conflicts
+
+    same = spark.createDataFrame([("k", None, "x"), ("k", None, "x")], "k string, a string, b string")
+    assert conflicts.raise_on_conflicts(same, ["k"], "t").count() == 1
+    shifted = spark.createDataFrame([("k", None, "x"), ("k", "x", None)], "k string, a string, b string")
+    with pytest.raises(DataConflictError):
+        conflicts.raise_on_conflicts(shifted, ["k"], "t")
+
+
+def test_stored_order_follows_files_and_places(spark, tmp_path):
+    spark.range(0, 1000, 1, 7).selectExpr("id", "repeat('x', cast(id % 50 as int)) as pad").write.option("header", True).csv(f"{tmp_path}/a b.csv")
+    got = read_csv(spark, f"{tmp_path}/a b.csv", "id long", ordinal="at").orderBy("at").collect()
+    assert [r.id for r in got] == list(range(1000))
+
+
+def test_windows_are_written_once(spark, tmp_path):
+    from kairosdf.operators.graph import iter_event_windows
+
+    rows = [(k, datetime(2020, 1, 1) + timedelta(hours=11 * k)) for k in range(300)]
+    df = spark.createDataFrame(rows, "k long, timestamp timestamp_ntz")
+    plain = [(at, sorted(r.k for r in x.collect())) for at, x in iter_event_windows(df, "W")]
+    written = [(at, sorted(r.k for r in x.collect())) for at, x in iter_event_windows(df, "W", folder=f"{tmp_path}/w")]
+    assert plain == written and sum(len(x) for _, x in plain) == 300 and len(plain) > 10

@@ -16,8 +16,9 @@ def test_entry(spark):
 
 
 def test_queries_equal_their_sql(spark, sf_dir):
-    from kairosdf.plans import queries
+    from kairosdf.plans import queries, study_queries
 
+    assert study_queries.study
     con = duckdb.connect()
     for f in os.listdir(sf_dir):
         con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{sf_dir}/{f}'")
