@@ -271,7 +271,8 @@ def linked_components(work: Work, keyed: DataFrame, facts: DataFrame, payload: C
         alive = few.groupBy(*keys).cogroup(many.groupBy(*keys)).applyInArrow(_with_partner(likely), "id long").distinct()
         # only members with a pair to test bring their payload
         brought = work.table("brought", heavy.join(alive, "id", "left_semi"))
-        few, many = (x.join(brought, "id") for x in (few, many))
+        again = work.spark.read.schema(brought.schema).parquet(work.paths["brought"])  # the two sides mustn't share columns
+        few, many = few.join(brought, "id"), many.join(again, "id")
         body = [c for c in heavy.columns if c != "id"]
         more = more.union(few.groupBy(*keys).cogroup(many.groupBy(*keys)).applyInArrow(_block_links(likely, match, own, body), "a long, b long"))
     more = work.table("links3", more)

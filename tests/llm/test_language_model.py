@@ -136,11 +136,13 @@ def test_a_word_moves_to_the_likeliest_class():
 
 
 def test_exchange_updates_the_counts():
-    n = np.zeros((4, 4))
+    """A word beside class 1, as the words of class 2 are, leaves class 3, whose other words stand beside class 4."""
+    n = np.zeros((5, 5))
     n[1, 2] = n[2, 1] = 100.0
+    n[4, 3] = n[3, 4] = 100.0
     n[1, 3] = n[3, 1] = 10
-    new = B.exchange(n, np.array([3]), np.array([0, 0]), np.array([1, 4 + 1]), np.array([10.0, 10.0]))
-    assert new.tolist() == [2] and n[1, 2] == n[2, 1] == 110 and n[3].sum() == n[:, 3].sum() == 0
+    new = B.exchange(n, np.array([3]), np.array([0, 0]), np.array([1, 5 + 1]), np.array([10.0, 10.0]))
+    assert new.tolist() == [2] and n[1, 2] == n[2, 1] == 110 and n[3, 1] == n[1, 3] == 0 and n[3, 4] == 100
 
 
 def test_odd_rows(odd_docs, no_docs):
