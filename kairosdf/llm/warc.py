@@ -67,7 +67,7 @@ class _Inflated(io.RawIOBase):
     """A file of gzip members, or a plain one, read as a stream that can skip."""
 
     def __init__(self, raw):
-        self.raw, self.left, self.at = raw, b"", 0
+        self.raw, self.left, self.at, self.record_at = raw, b"", 0, 0
         head = raw.read(2)
         self.gzip = head == b"\x1f\x8b"
         self.ahead, self.z = head, zlib.decompressobj(31) if self.gzip else None
@@ -123,6 +123,7 @@ def _headers(stream: _Inflated) -> dict[str, str] | None:
         line = stream.line()
     if not line:
         return None
+    stream.record_at = stream.at - len(line)
     if not line.startswith(b"WARC/"):
         raise ValueError(f"not a WARC record: {line[:40]!r}")
     out: dict[str, str] = {}
@@ -245,10 +246,10 @@ class WarcReader(DataSourceReader):
         with system.open_input_stream(where, compression=None) as raw:
             stream = _Inflated(raw)
             while True:
-                offset = stream.at
                 headers = _headers(stream)
                 if headers is None:
                     return
+                offset = stream.record_at
                 length = _length(headers, path, offset)
                 if not all(_passes(t, headers) for t in self.tests):
                     stream.take(length, keep=False)

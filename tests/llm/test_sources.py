@@ -104,7 +104,7 @@ def test_foreign_archives_are_read(spark):
     body = b"WARC/1.1\r\nnot a header\r\n\r\n" * 9
     records = [W.record_bytes({"WARC-Type": "warcinfo", "Content-Type": "text/plain"}, b"a: b"), W.record_bytes({"WARC-Type": "resource", "WARC-Target-URI": "urn:x", "Content-Type": "text/html"}, body), W.record_bytes({"WARC-Type": "metadata"}, b"")]
     for name, data in (("one.warc", b"".join(records)), ("two.warc.gz", b"".join(map(gzip.compress, records))), ("skip.txt", b"x")):
-        with system.open_output_stream(f"{where}/{name}") as out:
+        with system.open_output_stream(f"{where}/{name}", compression=None) as out:
             out.write(data)
     got = W.read_archives(spark, path)
     assert got.count() == 6 and {bytes(r.payload) for r in got.where("target_uri = 'urn:x'").collect()} == {body}
