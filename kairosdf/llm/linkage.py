@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .store import Work
 
 SMALL_BUCKET = 16
-BLOCK = 512
+BLOCK = 256
 SAMPLE, HOT = 20_000, 40
 _MASKS = [0, 0x5DEECE66D5DEECE6, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x369DEA0F31A53F85, 0x7F4A7C159E3779B9]
 
@@ -106,6 +106,17 @@ def _block_pairs(few: pa.Table, many: pa.Table, likely: Test) -> tuple[np.ndarra
     label_a, label_b, id_a, id_b = (x.to_numpy() for x in (a["label"], b["label"], a["id"], b["id"]))
     once = (label_b == b["main"].to_numpy())[None, :] | (id_a[:, None] < id_b[None, :])
     i, j = np.nonzero(once & (label_a[:, None] != label_b[None, :]))
+    if "buckets" in a and len(i):
+        # a pair that meets in several buckets is tested in the first; lists of another kind are, to be safe, tested everywhere
+        own, other = _padded(a["buckets"]), _padded(b["buckets"])
+        width, here = min(own.shape[1], other.shape[1]), few["bucket"][0].as_py()
+        for at in range(0, len(i), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            x = own[i[part], :width]
+            same = (x == other[j[part], :width]) & (x != -1)
+            first = x[np.arange(len(x)), same.argmax(1)]
+            j[part][same.any(1) & (first != here)] = -1
+        i, j = i[j >= 0], j[j >= 0]
     keep = np.zeros(len(i), bool)
     for at in range(0, len(i), 1 << 16):
         x, y = (pa.array(k[at : at + (1 << 16)]) for k in (i, j))
@@ -113,16 +124,27 @@ def _block_pairs(few: pa.Table, many: pa.Table, likely: Test) -> tuple[np.ndarra
     return i[keep], j[keep]
 
 
-_OWN = ("bucket", "ra", "rb", "main", "label")
+_OWN = ("bucket", "ra", "rb", "main", "label", "buckets")
+
+
+def _padded(column: pa.Array) -> np.ndarray:
+    """A column of lists as a matrix, short ones filled up with -1."""
+    sizes = column.value_lengths().to_numpy()
+    out = np.full((len(sizes), int(sizes.max(initial=0))), -1, np.int64)
+    out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = column.flatten().to_numpy()
+    return out
 
 
 def _with_partner(likely: Test):
-    """A cogrouped function: (id) of the members of a block that have a pair to test."""
+    """A cogrouped function: (bucket, ra, rb, few, id) of the members of a block that have a pair to test there."""
 
     def run(few: pa.Table, many: pa.Table) -> pa.Table:
         i, j = _block_pairs(few, many, likely) if few.num_rows and many.num_rows else (np.empty(0, np.int64),) * 2
-        ids = np.unique(np.concatenate([t["id"].to_numpy()[np.unique(k)] for t, k in ((few, i), (many, j))])) if len(i) else np.empty(0, np.int64)
-        return pa.table({"id": pa.array(ids, pa.int64())})
+        rows = [few["id"].to_numpy()[np.unique(i)], many["id"].to_numpy()[np.unique(j)]] if len(i) else [np.empty(0, np.int64)] * 2
+        n = len(rows[0]) + len(rows[1])
+        key = [np.full(n, few[c][0].as_py() if n else 0) for c in ("bucket", "ra", "rb")]
+        columns = [pa.array(key[0], pa.int64()), pa.array(key[1], pa.int32()), pa.array(key[2], pa.int32()), pa.array(np.arange(n) < len(rows[0])), pa.array(np.concatenate(rows), pa.int64())]
+        return pa.table(columns, names=["bucket", "ra", "rb", "few", "id"])
 
     return run
 
@@ -264,19 +286,22 @@ def linked_components(work: Work, keyed: DataFrame, facts: DataFrame, payload: C
     tried = star.union(star2).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     more = verified(work.table("pairs", candidates(pairs.join(tried, ["id_a", "id_b"], "left_anti"))))
 
-    large = rest.where(F.col("size") > SMALL_BUCKET).select("bucket", "id", "label").join(known, "id")
+    large = rest.where(F.col("size") > SMALL_BUCKET).select("bucket", "id", "label")
+    large = large.join(known, "id").join(keyed.select("id", "buckets"), "id")
     if not large.isEmpty():
         keys, own = ["bucket", "ra", "rb"], [c for c in known.columns if c != "id"]
         few, many = (work.table(f"large{k}", x) for k, x in enumerate(in_blocks(large)))
-        alive = few.groupBy(*keys).cogroup(many.groupBy(*keys)).applyInArrow(_with_partner(likely), "id long").distinct()
-        # only members with a pair to test bring their payload
-        brought = work.table("brought", heavy.join(alive, "id", "left_semi"))
+        alive = few.groupBy(*keys).cogroup(many.groupBy(*keys)).applyInArrow(_with_partner(likely), "bucket long, ra int, rb int, few boolean, id long")
+        alive = work.table("alive", alive)
+        # only rows with a pair to test bring their payload
+        brought = work.table("brought", heavy.join(alive.select("id").distinct(), "id", "left_semi"))
         again = work.spark.read.schema(brought.schema).parquet(work.paths["brought"])  # the two sides mustn't share columns
-        few, many = few.join(brought, "id"), many.join(again, "id")
+        few = few.join(alive.where("few").drop("few"), [*keys, "id"], "left_semi").join(brought, "id")
+        many = many.join(alive.where("not few").drop("few"), [*keys, "id"], "left_semi").join(again, "id")
         body = [c for c in heavy.columns if c != "id"]
         more = more.union(few.groupBy(*keys).cogroup(many.groupBy(*keys)).applyInArrow(_block_links(likely, match, own, body), "a long, b long"))
     more = work.table("links3", more)
-    work.drop("mixed2", "payload", "pairs", "facts", "star", "star2", "large0", "large1", "brought")
+    work.drop("mixed2", "payload", "pairs", "facts", "star", "star2", "large0", "large1", "alive", "brought")
     if more.isEmpty():
         return found
     return connected_components(work, links.union(more), "c3")
