@@ -16,7 +16,7 @@ count which classes come before and after each word; executors move their
 share of the words one small batch after the other against those counts, and
 the next sweep counts anew.  The frequent words, whose counts fit a dense
 table, are moved first and until the likelihood stands still, then all
-others, and both again.  Only words never seen keep a class by shape.
+others, and the frequent ones once more.  Only words never seen keep a class by shape.
 
 Counts are exact and cover the whole training corpus.  Executors hold one thing
 whose size isn't a batch's: keys, counts and classes of at most `common`
@@ -44,7 +44,7 @@ END_CLASS = 0
 #: stands for the end of a document; no word's key, as a word's lowest bits are its shape
 END = np.uint64(0)
 #: cells of the dense table in which the frequent words' neighbours are counted
-DENSE = 1 << 22
+DENSE = 1 << 21
 #: context rows handled at a time, and tokens of words that move at a time, one in so many
 CHUNK, SHARE = 1 << 18, 400
 _ALNUM = np.array([chr(b).isalnum() for b in range(128)] + [True] * 128)
@@ -388,7 +388,7 @@ def held_out(id_column: str):
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % FOLDS == HELD_OUT_FOLD, F.lit(False))
 
 
-def train(docs: DataFrame, work: Work, *, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", classes: int = 64, common: int = 1 << 20, sweeps: int = 8, tolerance: float = 2e-3, mix: float = 0.1, discount: float = 0.5) -> BrownModel:
+def train(docs: DataFrame, work: Work, *, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", classes: int = 64, common: int = 1 << 20, sweeps: int = 5, tolerance: float = 2e-3, mix: float = 0.1, discount: float = 0.5) -> BrownModel:
     """Fit on the rows of docs for which learn holds, all by default.
 
     common bounds the words that executors hold in memory, not those that move.
@@ -448,17 +448,17 @@ def train(docs: DataFrame, work: Work, *, learn: Column | None = None, id_col: s
         return _likelihood(pairs)
 
     done, last = 0, -np.inf
-    for at_most in (sweeps, min(sweeps, 2)):
-        for _ in range(at_most if len(frequent) else 0):
-            now = sweep(frequent)
-            done += 1
-            if now - last < tolerance:
-                break
-            last = now
-        if len(others) and sweeps:
-            sweep(others)
-        elif not len(others):
+    for _ in range(sweeps if len(frequent) else 0):
+        now = sweep(frequent)
+        done += 1
+        if now - last < tolerance:
             break
+        last = now
+    if len(others) and sweeps:
+        # their classes known, the frequent words look about once more
+        sweep(others)
+        sweep(frequent)
+        done += 1
     shared = spark.sparkContext.broadcast(table)
     links = work.table("links", corpus.select("row", "train", "ids", "rare").mapInArrow(_links(shared, classes), _ROW))
     rare = _place_rare(work, vocabulary.where(~is_common), links, classes, move=sweeps > 0)
