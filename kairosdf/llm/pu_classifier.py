@@ -30,6 +30,7 @@ from .store import bounded_batches
 THRESHOLD = 0.3
 FOLDS, HELD_OUT_FOLD = 5, 0
 MARGIN = 0.03
+ROUNDS = 20
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -40,7 +41,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class PUModel:
     edges: np.ndarray  # (statistics, bins - 1) quantiles of the unlabelled rows
     weights: np.ndarray  # statistics * bins, and the bias last
-    prior: float
+    prior: float  # as used
+    estimated: float = float("nan")  # before it was lowered
+    rounds: int = 0  # in which it was
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return _sigmoid(_logit(_cells(x, self.edges), self.weights))
@@ -116,13 +119,15 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, *, bins: int = 16, step
             return -down
         return prior * _push(cp, -_sigmoid(-zp) / len(cp), size) + down + ridge * w
 
-    # a second term that stays below zero says that the prior is too high
-    for _ in range(20):
+    # a second term that stays below zero says that the prior is too high: it is lowered by MARGIN a round, ROUNDS at most,
+    # and the model keeps what was estimated beside what was used
+    estimated = prior
+    for rounds in range(1, ROUNDS + 1):
         prior *= 1 - MARGIN
         w = _descend(zero, risk, steps, rate)
         if np.logaddexp(0, _logit(cu, w)).mean() - prior * np.logaddexp(0, _logit(cp, w)).mean() > -0.02 * prior:
             break
-    return PUModel(edges, w, prior)
+    return PUModel(edges, w, prior, estimated, rounds)
 
 
 def held_out(id_column: str):
@@ -182,7 +187,10 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc
     Labels are learnt only outside the held-out fold and are, like id, source
     and language, no input of a score.  Null texts score as empty ones; rows
     without an id are scored and never held out; repeated rows are each
-    returned; without trusted positives every score is 0.5.  Only the named
+    returned; without trusted positives every score is 0.5.  bounds are those
+    of train(): positives, at most 10,000 labelled good rows, and unlabelled, at
+    most 20,000 rows for the unlabelled half of the risk.  Texts of any length
+    are read whole; an empty table gives an empty result.  Only the named
     columns are read.
     """
     model = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **bounds)
@@ -191,7 +199,12 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, that score at least threshold."""
+    """The rows of docs, all columns, that score at least threshold.
+
+    Null texts score as empty ones, rows without an id like others; repeated
+    rows stay or go together; without trusted positives all rows stay; an
+    empty table gives an empty one.
+    """
     model = train(docs, labels)
     names = docs.columns
 

@@ -96,8 +96,10 @@ def quality_rules(
     """One row per input row: doc_id, the base statistics, base_failed, anomaly_score, kept.
 
     sample_rows bounds the rows (those with the smallest hashes of their id)
-    on which trees are grown; statistics, scores and the calibration cover all
-    rows.  Null and wordless texts have zero words and fail the base rules.
+    on which trees are grown, each on per_tree of them: an isolation forest's
+    trees are grown on small subsamples by design.  Statistics, scores and the
+    calibration cover all rows.  A document that is labelled several times
+    counts as often in the calibration; texts of any length are read whole; an empty table gives an empty result.  Null and wordless texts have zero words and fail the base rules.
     Without labelled bad rows nothing is an anomaly.  Rows without an id are
     scored like others; repeated rows are each returned.  Only the named
     columns are read, whatever others there are.
