@@ -7,8 +7,10 @@ from datetime import datetime, timedelta
 import pytest
 
 from kairosdf import TableCatalog, validate_dataset
+from kairosdf import config
 from kairosdf.config import RAW_FILES, SCHEMAS
 from kairosdf.operators import rules
+from kairosdf.plans import build
 from kairosdf.plans.build import build_checkpoint
 from kairosdf.sources.catalog import iter_batches, time_ordinal
 from kairosdf.sources.tables import read_csv
@@ -223,3 +225,31 @@ def test_windows_are_written_once(spark, tmp_path):
     plain = [(at, sorted(r.k for r in x.collect())) for at, x in iter_event_windows(df, "W")]
     written = [(at, sorted(r.k for r in x.collect())) for at, x in iter_event_windows(df, "W", folder=f"{tmp_path}/w")]
     assert plain == written and sum(len(x) for _, x in plain) == 300 and len(plain) > 10
+
+
+def test_a_query_of_the_study_does_only_the_steps_it_reads(spark, tmp_path, monkeypatch):
+    """The clean tables need no splits, the splits no graph, and a step is done once."""
+    import os
+
+    from kairosdf.plans import study_queries
+
+    def no_files(spark, sf_dir):
+        (tmp_path / "raw").mkdir(exist_ok=True)
+        write_raw(tmp_path / "raw")
+        return {}
+
+    done = []
+    run = build.run_cleaning
+    monkeypatch.setattr(build, "run_cleaning", lambda *a, **k: done.append("cleaning") or run(*a, **k))
+    monkeypatch.setattr(study_queries, "raw_tables", no_files)
+    monkeypatch.setattr(study_queries, "scratch_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(study_queries, "PROTOCOL", config.DEFAULT)
+    files = lambda: {os.path.relpath(os.path.join(at, d), tmp_path) for at, ds, fs in os.walk(tmp_path) for d in (*ds, *fs) if d.endswith((".csv", ".json")) and not d.startswith("part-")}
+    study_queries.study(spark, "here")
+    raw = files()
+    assert study_queries.load_assets(spark, "here").count() == 5
+    assert {f.split("/")[0] for f in files() - raw} == {"processed", "reports"} and "reports/data_quality_report.json" not in files()
+    study_queries.catalog(spark, "here", "primary")
+    assert {f for f in files() if f.startswith("splits")} == {f"splits/primary/{part}_transactions.csv" for part in ("train", "validation", "test")}
+    assert study_queries.checkpoint_report(spark, "here").head().ok and done == ["cleaning"]
+    assert {"splits/id_mapping.json", "splits/rolling/rolling_split_summary.csv", "splits/primary/train_graph_events.csv", "reports/checkpoint1_report.json"} <= files()
