@@ -266,3 +266,43 @@ def test_batches_go_back_to_spark_as_arrow(spark, built, tmp_path, monkeypatch):
     monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: given.append(type(data)) or create(self, data, *a, **k))
     rows = study_queries.batches_in_order(spark, "here").orderBy("place").collect()
     assert given == [pa.Table] and [r.place for r in rows] == list(range(len(rows))) and len(rows) > 100
+
+
+def test_a_table_is_cleaned_with_those_that_it_refers_to(spark, tmp_path):
+    import os
+
+    from kairosdf.plans.cleaning_run import run_cleaning
+
+    (tmp_path / "raw").mkdir()
+    write_raw(tmp_path / "raw", 5)
+    report = run_cleaning(spark, f"{tmp_path}/raw", f"{tmp_path}/p", names=["close_prices"])
+    assert list(report["tables"]) == ["assets", "close_prices"] and "transactions" not in report and sorted(x["rows"] for x in report["notes"]) == [1, 1]
+    assert sorted(os.listdir(tmp_path / "p")) == ["asset_information_clean.csv", "close_prices_clean.csv"]
+    with (tmp_path / "raw" / RAW_FILES["transactions"]).open("a") as f:
+        f.write("009,A1,999,Buy,2019-01-01,1.0,1,Web,M1\n")
+    with pytest.raises(ValueError, match="unknown customerID"):
+        run_cleaning(spark, f"{tmp_path}/raw", f"{tmp_path}/q", names=["transactions"])
+    assert not (tmp_path / "q").exists()
+
+
+def test_queries_of_clean_tables_build_no_study(spark, sf_dir, monkeypatch):
+    """load_assets and the like write and clean the tables they read; raw trades are read once for all their variants."""
+    from kairosdf.plans import study_queries
+
+    monkeypatch.setattr(study_queries, "_studies", {})
+    monkeypatch.setattr(study_queries, "study", None)
+    for name in ("load_assets", "load_markets", "load_close_prices", "load_limit_prices", "load_transactions", "cleaning_transaction_stats", "cleaning_notes"):
+        assert not getattr(study_queries, name)(spark, sf_dir).isEmpty()
+    plan = study_queries.raw_tables(spark, sf_dir)["transactions"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_shipdate") and plan.count("Relation [") == 2
+
+
+def test_snapshots_are_loaded_without_the_parts(spark, built, tmp_path):
+    import shutil
+
+    at = built[0]
+    shutil.copytree(at / "splits", tmp_path / "s", ignore=lambda folder, names: [x for x in names if x.endswith("_transactions.csv")])
+    c = TableCatalog(spark, f"{at}/processed", f"{tmp_path}/s")
+    assert len(c.load_snapshots()) == 6 and c.load_rolling_snapshots(5)["prices"].count() > 0
+    with pytest.raises(FileNotFoundError):
+        c.load_primary_split()
