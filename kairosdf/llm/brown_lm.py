@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import Work
-from .text import IS_CONT, Slice, as_long, slices
+from .text import IS_CONT, Slice, slices
 
 FOLDS, HELD_OUT_FOLD = 7, 2
 SHAPES = 32
@@ -95,14 +95,20 @@ class CommonWords:
         return out
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a list column, flat, and where each row's begin."""
-    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
-    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+def _packed(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Each row's values as bytes: Spark copies those at once, lists value by value."""
+    at = (np.asarray(offsets, np.int64) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _list_array(values: pa.Array, offsets: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a packed column, flat, and where each row's begin."""
+    if not len(column):
+        return np.empty(0, kind), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    own = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+    return own.view(kind), (at - at[0]) // np.dtype(kind).itemsize
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +116,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in slices(batch.column(3)):
             own = [batch.column(k).slice(s.first, len(s)) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*own, _list_array(as_long(word_keys(s)), s.words)], names=["row", "doc_id", "train", "keys"])
+            yield pa.RecordBatch.from_arrays([*own, _packed(word_keys(s), s.words)], names=["row", "doc_id", "train", "keys"])
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +157,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counter = _Counter()
     out = lambda key, n: pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
     for batch in batches:
-        for part in counter.add(_lists(batch.column(0))[0]):
+        for part in counter.add(_unpacked(batch.column(0), np.int64)[0]):
             yield out(*part)
     for part in counter.rest():
         yield out(*part)
@@ -163,10 +169,10 @@ def _tokens(common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = common.value
         for batch in batches:
-            keys, at = _lists(batch.column(3))
+            keys, at = _unpacked(batch.column(3), np.int64)
             ids = table.find(keys.view(np.uint64))
             rare = ids < 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _list_array(pa.array(ids), at), _list_array(pa.array(keys[rare]), np.concatenate(([0], np.cumsum(rare)))[at])], names=["row", "doc_id", "train", "ids", "rare"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _packed(ids, at), _packed(keys[rare], np.concatenate(([0], np.cumsum(rare)))[at])], names=["row", "doc_id", "train", "ids", "rare"])
 
     return run
 
@@ -194,14 +200,17 @@ def _class_sequence(table: CommonWords, ids: np.ndarray, rare: np.ndarray, at: n
 
 
 def _contexts(common, slot: np.ndarray, classes: int):
-    """A mapInArrow function over (ids, rare): (word, context, n) for the words with a slot, word -1 for class
-    pairs.  A context is the class before, or `classes` more than the class after."""
+    """A mapInArrow function over (ids, rare): (word, n, cells) for the words with a slot, cells the packed
+    n * 2 * classes + context of its contexts; for class pairs, word -1 less the pair, and n.
+    A context is the class before, or `classes` more than the class after."""
     slots = int(slot.max(initial=-1)) + 1
     wide = 2 * classes
-    names = ["word", "context", "n"]
+    names = ["word", "n", "cells"]
 
     def rows(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(code // wide), pa.array(code % wide), pa.array(n)], names=names)
+        word = code // wide
+        first = np.flatnonzero(np.diff(word, prepend=-1))  # codes ascend
+        return pa.RecordBatch.from_arrays([pa.array(word[first]), pa.nulls(len(first), pa.int64()), _packed(n * wide + code % wide, np.append(first, len(code)))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = common.value
@@ -209,8 +218,8 @@ def _contexts(common, slot: np.ndarray, classes: int):
         dense = np.zeros(slots * wide, np.int64) if slots * wide <= DENSE else None
         counter = _Counter()
         for batch in batches:
-            ids, at = _lists(batch.column(0))
-            c, before, _ = _class_sequence(table, ids, _lists(batch.column(1))[0], at)
+            ids, at = _unpacked(batch.column(0), np.int32)
+            c, before, _ = _class_sequence(table, ids, _unpacked(batch.column(1), np.int64)[0], at)
             pairs += np.bincount(before * classes + c, minlength=classes * classes)
             place = _with_ends(np.where(ids >= 0, slot[ids], -1) if len(slot) else np.full(len(ids), -1), at, -1)[0]
             move = np.flatnonzero(place >= 0)
@@ -227,7 +236,7 @@ def _contexts(common, slot: np.ndarray, classes: int):
             at = np.flatnonzero(dense)
             yield rows(at, dense[at])
         at = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1)), pa.array(at), pa.array(pairs[at])], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - at), pa.array(pairs[at]), pa.nulls(len(at), pa.binary())], names=names)
 
     return run
 
@@ -295,7 +304,7 @@ def exchange(n: np.ndarray, was: np.ndarray, word: np.ndarray, context: np.ndarr
 
 
 def _moves(pairs, classes_of: np.ndarray | None):
-    """A mapInArrow function over (word, context, n) sorted by word: (word, class).
+    """A mapInArrow function over (word, context, n), or (word, cells) as of _contexts, sorted by word: (word, class).
 
     classes_of: the words' classes by number, if they are counted in pairs; else
     word is a key and its class new.  At most CHUNK rows and one word's are held.
@@ -313,8 +322,12 @@ def _moves(pairs, classes_of: np.ndarray | None):
         n = pairs.value.astype(float)
         held, size = [], 0
         for batch in batches:
-            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
-            size += batch.num_rows
+            if batch.num_columns == 2:
+                cells, at = _unpacked(batch.column(1), np.int64)
+                held.append([np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(at)), cells % (2 * len(n)), cells // (2 * len(n))])
+            else:
+                held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
+            size += len(held[-1][0])
             if size >= CHUNK:
                 word, context, count = map(np.concatenate, zip(*held, strict=True))
                 cut = int(np.searchsorted(word, word[-1]))
@@ -345,8 +358,8 @@ def _links(common, classes: int):
         table = common.value
         pairs = np.zeros(classes * classes, np.int64)
         for batch in batches:
-            ids, at = _lists(batch.column(2))
-            rare = _lists(batch.column(3))[0]
+            ids, at = _unpacked(batch.column(2), np.int32)
+            rare = _unpacked(batch.column(3), np.int64)[0]
             c, before, starts = _class_sequence(table, ids, rare, at)
             keys = np.zeros(len(ids), np.int64)
             keys[ids < 0] = rare
@@ -380,7 +393,7 @@ class BrownModel:
     types: int  # V
     transition: np.ndarray
     sweeps: int  # over the frequent words
-    corpus: DataFrame  # (row, doc_id, train, ids, rare)
+    corpus: DataFrame  # (row, doc_id, train, ids, rare), the last two packed
     links: DataFrame  # as _links gives them, classes of rare words put in, and their counts as n_b
 
 
@@ -399,7 +412,7 @@ def train(docs: DataFrame, work: Work, *, learn: Column | None = None, id_col: s
     spark = docs.sparkSession
     learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), learn.alias("train"), F.col(text_col).cast("string").alias("text"))
-    keyed = work.table("keys", base.mapInArrow(_keys, "row long, doc_id long, train boolean, keys array<long>"))
+    keyed = work.table("keys", base.mapInArrow(_keys, "row long, doc_id long, train boolean, keys binary"))
     documents = keyed.where("train").count()
     vocabulary = work.table("vocabulary", keyed.where("train").select("keys").mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     words, types = (int(x or 0) for x in vocabulary.agg(F.sum("n"), F.count("*")).head())
@@ -417,7 +430,7 @@ def train(docs: DataFrame, work: Work, *, learn: Column | None = None, id_col: s
     keys, counts = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(keys)
     table = CommonWords(keys[order], counts[order], shape_class(keys[order]).astype(np.uint8))
-    corpus = work.table("corpus", keyed.mapInArrow(_tokens(spark.sparkContext.broadcast(table)), "row long, doc_id long, train boolean, ids array<int>, rare array<long>"))
+    corpus = work.table("corpus", keyed.mapInArrow(_tokens(spark.sparkContext.broadcast(table)), "row long, doc_id long, train boolean, ids binary, rare binary"))
     work.drop("keys")
 
     rank = np.lexsort((table.keys, -table.counts))
@@ -433,12 +446,12 @@ def train(docs: DataFrame, work: Work, *, learn: Column | None = None, id_col: s
         slot = np.full(len(table.keys), -1, np.int32)
         slot[moving] = np.arange(len(moving))
         shared = spark.sparkContext.broadcast(table)
-        rows = work.table("contexts", seen.mapInArrow(_contexts(shared, slot, classes), "word long, context long, n long"))
+        rows = work.table("contexts", seen.mapInArrow(_contexts(shared, slot, classes), "word long, n long, cells binary"))
         pairs = np.zeros(classes * classes, np.int64)
-        for context, n in rows.where("word = -1").groupBy("context").agg(F.sum("n")).collect():  # classes ** 2 at most
-            pairs[context] = n
+        for word, n in rows.where("word < 0").groupBy("word").agg(F.sum("n")).collect():  # classes ** 2 at most
+            pairs[-1 - word] = n
         pairs = pairs.reshape(classes, classes)
-        own = rows.where("word >= 0").repartition("word").sortWithinPartitions("word")
+        own = rows.where("word >= 0").select("word", "cells").repartition("word").sortWithinPartitions("word")
         moved = own.mapInArrow(_moves(spark.sparkContext.broadcast(pairs), table.classes[moving]), "word long, class int").toArrow()  # a row a moving word
         new = table.classes.copy()
         new[moving[moved["word"].to_numpy()]] = moved["class"].to_numpy()
@@ -518,8 +531,8 @@ def _score(common, transition):
         table, step = common.value, transition.value
         log_counts = np.log10(table.counts + 1.0)
         for batch in batches:
-            ids, at = _lists(batch.column(3))
-            c, before, starts = _class_sequence(table, ids, _lists(batch.column(4))[0], at)
+            ids, at = _unpacked(batch.column(3), np.int32)
+            c, before, starts = _class_sequence(table, ids, _unpacked(batch.column(4), np.int64)[0], at)
             n = len(at) - 1
             words = np.repeat(np.arange(n), np.diff(at))
             row = np.repeat(np.arange(n), np.diff(at) + 1)

@@ -154,3 +154,35 @@ def test_nothing_to_learn_from(spark):
     only = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     got = B.brown_scores(spark.createDataFrame([(i, "a b", "en", "s", 0) for i in only], SCHEMA)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0.0 and math.isfinite(r.score) for r in got)
+
+
+def test_contexts_of_a_word_are_one_row_a_partition(spark):
+    import pyarrow as pa
+
+    column = pa.concat_arrays([B._packed(np.arange(9), np.array([0, 4, 4, 9])), B._packed(np.arange(2), np.array([0, 0, 2]))])
+    for part in (column, column.slice(1, 2), column.slice(3), column.slice(5)):
+        flat, offsets = B._unpacked(part, np.int64)
+        assert [flat[x:y].tolist() for x, y in zip(offsets[:-1], offsets[1:], strict=True)] == [np.frombuffer(x, np.int64).tolist() for x in part.to_pylist()]
+
+    keys = np.array([32, 64, 96], np.uint64)
+    table = B.CommonWords(keys, np.array([3, 2, 1]), np.array([5, 6, 7], np.uint8))
+    shared = spark.sparkContext.broadcast(table)
+    ids = [[0, 1, 0], [], [2, 0, 1]]
+    flat = np.array(sum(ids, []), np.int32)
+    batch = pa.RecordBatch.from_arrays([B._packed(flat, np.array([0, 3, 3, 6])), B._packed(np.empty(0, np.int64), np.zeros(4, int))], names=["ids", "rare"])
+    want = Counter()
+    for row in ids:
+        line = [0, *(int(table.classes[i]) for i in row), 0]
+        for k, i in enumerate(row):
+            want[i, line[k]] += 1
+            want[i, 64 + line[k + 2]] += 1
+    for dense in (B.DENSE, 0):
+        was, B.DENSE = B.DENSE, dense
+        try:
+            out = pa.Table.from_batches(list(B._contexts(shared, np.arange(3, dtype=np.int32), 64)(iter([batch, batch.slice(0, 0)])))).to_pylist()
+        finally:
+            B.DENSE = was
+        rows = [r for r in out if r["word"] >= 0]
+        assert [r["word"] for r in rows] == [0, 1, 2]  # not a row for each context
+        assert {(r["word"], int(c) % 128): int(c) // 128 for r in rows for c in np.frombuffer(r["cells"], np.int64)} == want
+        assert sum(r["n"] for r in out if r["word"] < 0) == 9  # words and ends
