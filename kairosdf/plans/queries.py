@@ -73,9 +73,9 @@ def raw_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.union(one.where("cast(ISIN as bigint) % 3 = 0").withColumn("assetCategory", F.lit("MTF"))).union(one.where("cast(ISIN as bigint) % 7 = 0"))
 
 
-def graph_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, encoding.IDMapping]:
+def graph_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, encoding.IDMapping | encoding.FittedWhenRead]:
     tx = transactions(spark, sf_dir)
-    return tx, encoding.fit_id_mapping(asof.upto(tx, TRAIN_END))
+    return tx, encoding.FittedWhenRead(asof.upto(tx, TRAIN_END))
 
 
 _TX = """tx as (select cast(o_custkey as varchar) as "customerID", cast(l_partkey as varchar) as "ISIN",
